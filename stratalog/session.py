@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, once an application, unless PYTHONPATH has it for them."""
+    home = Path(__file__).resolve().parent
+    paths = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    context = spark.sparkContext
+    if home.parent not in paths and context.applicationId not in _shipped:
+        packed = Path(tempfile.mkdtemp()) / f"{home.name}.zip"
+        with zipfile.ZipFile(packed, "w") as out:
+            for file in sorted(home.rglob("*.py")):
+                out.write(file, file.relative_to(home.parent))
+        context.addPyFile(str(packed))
+        _shipped.add(context.applicationId)
+    return spark
+
+
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     """The session of tests and of bench.py."""
     return (
