@@ -41,7 +41,7 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the Python workers, once an application, unless PYTHONPATH has it for them."""
+    """Makes a session fit: sends this package to the Python workers, once an application, unless PYTHONPATH has it for them, and sets the zone to UTC."""
     home = Path(__file__).resolve().parent
     paths = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     context = spark.sparkContext
@@ -52,6 +52,8 @@ def ship(spark: SparkSession) -> SparkSession:
                 out.write(file, file.relative_to(home.parent))
         context.addPyFile(str(packed))
         _shipped.add(context.applicationId)
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":  # times without a zone are UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
