@@ -298,7 +298,8 @@ def implausible_readings(
     ).dropDuplicates(["metric_name"])
     known = F.broadcast(known) if known.limit(10_001).count() <= 10_000 else known
     rows = (
-        readings.filter(F.col("value").isNotNull() & F.col("time").isNotNull())
+        readings.select("entry_id", "metric_name", "name_value_labels", "time", "value")
+        .filter(F.col("value").isNotNull() & F.col("time").isNotNull())
         .join(known, "metric_name", "left")
         .select(
             F.xxhash64(key).alias("h1"), F.hash(key).alias("h2"), "entry_id", micros(F.col("time")).alias("t"),
