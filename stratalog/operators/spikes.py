@@ -152,7 +152,8 @@ def check_source(
         if long.any():
             outside = n - int(size[long].sum())
             changes = len(starts) - 1
-            if changes * 2 > outside:
+            # a source of nothing but long runs moves in steps
+            if outside >= 5 and changes * 2 > outside:
                 for a, b in zip(starts[long], ends[long]):
                     if still[a:b].any():
                         frozen[a:b] = True
