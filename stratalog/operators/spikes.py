@@ -150,10 +150,11 @@ def check_source(
         size = ends - starts
         long = size >= stuck
         if long.any():
-            outside = n - int(size[long].sum())
-            changes = len(starts) - 1
-            # a source of nothing but long runs moves in steps
-            if outside >= 5 and changes * 2 > outside:
+            # changes between readings that are both outside long runs
+            free = np.repeat(~long, size)
+            pairs = free[1:] & free[:-1]
+            changes = pairs & (v[1:] != v[:-1])
+            if pairs.sum() >= 5 and changes.sum() * 2 > pairs.sum():
                 for a, b in zip(starts[long], ends[long]):
                     if still[a:b].any():
                         frozen[a:b] = True

@@ -56,9 +56,10 @@ def test_lasting_moves_climbs_steps_and_short_runs_are_no_cases(spark):
     shift = _walk(2)[:60] + [x + 40 for x in _walk(3)[:60]]
     climb = [x + 0.5 * i for i, x in enumerate(_walk(4))]
     steps = [3.0] * 50 + [5.0] * 40 + [4.0] * 30
+    steppy = [float(i % 5) for i, n in enumerate((23, 8, 18, 13, 9, 17, 6, 14)) for _ in range(n)]
     short = _walk(5)
     short[50:58] = [short[50]] * 8
-    series = [("temp", {"s": str(i)}, v) for i, v in enumerate((shift, climb, steps, [7.0] * 100, short))]
+    series = [("temp", {"s": str(i)}, v) for i, v in enumerate((shift, climb, steps, [7.0] * 100, short, steppy))]
     assert _found(spark, series) == {}
 
 
