@@ -143,7 +143,7 @@ def _build(batches: Iterator[pa.RecordBatch], delta: float, whole: int, rows: in
     yield from flush()
 
 
-def build_digests(df: DataFrame, delta: float = 200, whole: int = 256, rows: int = 1_000_000) -> DataFrame:
+def build_digests(df: DataFrame, delta: float = 400, whole: int = 512, rows: int = 1_000_000) -> DataFrame:
     """Digests (DIGEST) of value by metric_name, and by metric_name and every single label, one a group and partition.
 
     ``df``: metric_name, name_value_labels, value. Null, NaN and infinite values are left out. label and
@@ -175,7 +175,7 @@ def _keyed(digests: DataFrame, salt: bool) -> DataFrame:
     return keyed.withColumn("h3", F.pmod(F.xxhash64("means", "weights"), F.lit(32)).cast("int") if salt else F.lit(0))
 
 
-def merge_digests(digests: DataFrame, delta: float = 200, whole: int = 256, salted: bool | None = None) -> DataFrame:
+def merge_digests(digests: DataFrame, delta: float = 400, whole: int = 512, salted: bool | None = None) -> DataFrame:
     """One digest a group (DIGEST), from digests of any origin.
 
     With many partitions a group has as many digests as there are partitions; they are then merged in two

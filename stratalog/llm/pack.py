@@ -3,7 +3,8 @@
 Only the histogram of lengths is solved: at most ``capacity`` numbers whatever the corpus. Its
 configuration linear program (a configuration is a set of lengths that fits one container) is solved
 by multiplicative weights: every length has a price, the most valuable configuration is found by
-dynamic programming over the capacity, it is used a bit, and the prices of what it covers fall. The
+dynamic programming over the capacity, it is used a bit, and the prices of what it covers fall. Prices
+begin a little above proportion to length, as long items are harder to place. The
 fractional solution is rounded down, what is left is solved again, and the last rest goes by best fit
 over groups of like containers. The solution is a table of slots; documents take their slots by their
 number among those of their length, which is counted in salted buckets, so neither the documents nor
@@ -63,10 +64,10 @@ def best_config(prices: np.ndarray, left: np.ndarray, lengths: np.ndarray, capac
     return tuple((int(lengths[i]), n) for i, n in sorted(out.items(), reverse=True) if n)
 
 
-def _fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rate: float) -> dict[Config, float]:
+def _fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rate: float, power: float) -> dict[Config, float]:
     """Multiplicative weights: configurations and how often each is used, covering every length about its count."""
     goal = max(1.0, float((lengths * counts).sum()) / capacity)
-    prices = lengths / capacity
+    prices = (lengths / capacity) ** power
     weight = np.ones(len(lengths))
     covered = np.zeros(len(lengths))
     index = {int(x): i for i, x in enumerate(lengths)}
@@ -116,7 +117,7 @@ def _best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Counter
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 300, rate: float = 8.0, rest: float = 0.01, most: int = 6) -> Counter:
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 300, rate: float = 0.5, power: float = 1.3, rest: float = 0.01, most: int = 6) -> Counter:
     """How often each configuration is used, so that every length up to ``capacity`` is covered exactly."""
     lengths = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[int(x)] for x in lengths], np.int64)
@@ -130,7 +131,7 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 300, rate: flo
             break
         before = volume
         room = counts.copy()
-        for config, x in sorted(_fractional(lengths, counts.astype(float), capacity, rounds, rate).items(), key=lambda c: -c[1]):
+        for config, x in sorted(_fractional(lengths, counts.astype(float), capacity, rounds, rate, power).items(), key=lambda c: -c[1]):
             at = [int(np.searchsorted(lengths, length)) for length, _ in config]
             number = min(int(x + 1e-9), *(int(room[i]) // n for i, (_, n) in zip(at, config)))
             if number > 0:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratalog.llm import digests, encode, pack, quality, terms
 from stratalog.session import cut, table
 
-#: the rank error that percentiles of 200 cells are certified to stay within
+#: the rank error that percentiles of 400 cells are certified to stay within
 RANK_ERROR = 0.01
 
 
