@@ -204,11 +204,7 @@ def _estimates(batches: Iterator[pa.RecordBatch], qs: tuple[float, ...]) -> Iter
             x = quantiles(mi, wi, low[i], high[i], qs)
             values.append(x)
             exact.append(bool(len(mi) == wi.sum()))
-            if exact[-1]:  # the digest holds every value: ranks are counted in it
-                under, upto = np.searchsorted(mi, x, "left") / len(mi), np.searchsorted(mi, x, "right") / len(mi)
-                errors.append(float(np.maximum(0, np.maximum(under - qs, qs - upto)).max()))
-            else:
-                errors.append(None)
+            errors.append(0.0 if exact[-1] else None)  # a digest of all values is exact
         flat = np.concatenate(values) if values else np.zeros(0)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(qs), pa.int32()), pa.array(flat, pa.float64()))
         yield pa.RecordBatch.from_arrays(
@@ -217,7 +213,11 @@ def _estimates(batches: Iterator[pa.RecordBatch], qs: tuple[float, ...]) -> Iter
 
 
 def estimate(digests: DataFrame, qs: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """Percentiles of merged digests: GROUP, n, estimates (one a quantile), whole (all values are in the digest), and then their error."""
+    """Percentiles of merged digests: GROUP, n, estimates (one a quantile), whole and error.
+
+    A digest that still holds every value (``whole``) gives the exact percentiles, linear between ranks, and
+    their error is 0; for others it is null until ``certify`` has counted.
+    """
     return digests.mapInArrow(
         lambda batches: _estimates(batches, qs),
         "metric_name string, label string, label_value string, n bigint, estimates array<double>, whole boolean, error double",
