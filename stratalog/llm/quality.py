@@ -28,6 +28,7 @@ STATISTICS = (
 KINDS = ("prose", "list", "table", "junk")
 
 _ATTRIBUTION = re.compile(r"^\s*(?:.{1,60} wrote|On .{1,40} said|.{1,60} (?:schrieb|a écrit|escribió|писал\(?а?\)?))\s*:\s*$")
+_QUOTED = re.compile(r"^>(?:$|[\s>]|\w)")
 _TAG = re.compile(r"\[quote[^\]\n]*\]|\[/quote\]|<blockquote[^>\n]*>|</blockquote>", re.IGNORECASE)
 _MARKUP = re.compile(r"\[/?(?:b|i|u|s|size|color|url|img|code|center)(?:=[^\]\n]*)?\]|</?(?:b|i|u|p|br|em|strong|a|span|div|cite|code|pre)\b[^>\n]*>|\*\*|&(?:nbsp|amp|lt|gt|quot|#\d+);", re.IGNORECASE)
 _CELL_TAG = re.compile(r"\[/?(?:table|tr|td|th)\b[^\]]*\]|</?(?:table|tr|td|th|thead|tbody)\b", re.IGNORECASE)
@@ -48,6 +49,15 @@ _KANA = re.compile(r"[぀-ヿ一-鿿]")
 _LOOKALIKES = str.maketrans("аεсеһіјӏмոорѕтυνхуαοιρ", "aecehijlmnopstuvxyaoip")
 
 
+def _ends_here(line: str, rest: list[str], before: list[str]) -> bool:
+    """Whether a line parts a post from its signature: two dashes, or a rule with a few short lines of words after it."""
+    after = [x for x in rest if x.strip()]
+    if line in ("--", "—"):
+        return len(after) <= 6
+    rule = len(line) >= 5 and set(line) == {"_"}
+    return rule and bool(before) and 1 <= len(after) <= 3 and all(len(x) <= 80 and sum(c.isalpha() for c in x) >= 0.4 * len(x) for x in after)
+
+
 def own_words(text: str) -> str:
     """A post without the quotes of others and its signature. Quotes may be nested, cut, tagged or marked line by line."""
     out, depth, at = [], 0, 0
@@ -66,10 +76,9 @@ def own_words(text: str) -> str:
     lines, kept, quoted = "".join(out).replace("\r", "").split("\n"), [], False
     for i, line in enumerate(lines):
         bare = line.strip()
-        if bare in ("--", "—") or (len(bare) >= 5 and set(bare) == {"_"} and len(lines) - i <= 5):
-            if len(lines) - i <= 8:
-                break
-        if line.startswith(">"):
+        if _ends_here(bare, lines[i + 1 :], kept):
+            break
+        if _QUOTED.match(line):
             continue
         if _ATTRIBUTION.match(line):
             quoted = True

@@ -64,6 +64,7 @@ def test_prose(text):
         ("mine\n> theirs\n> more\nmine too", "mine\nmine too"), ("ann wrote:\n> a\nb", "b"), ("On 3 May, ann said:\n| a\n| b\nc", "c"),
         ("[quote=ann]a[/quote]\nb", "b"), ("[quote=ann][quote=bob]cut[/quote]\nb", "b"), ("[quote=a][quote=b]x[/quote]y[/quote]z", "z"),
         ("<blockquote><cite>a</cite>b</blockquote>\nc", "c"), ("a\n--\nSent from my phone", "a"), ("a\n-- \nb", "a"), ("a\n____________\nbees > people", "a"),
+        (">)<|*?%+)*@<&|][%}^", ">)<|*?%+)*@<&|][%}^"), ("_______\n#######\n=======", "_______\n#######\n======="), (">> twice\n>once\nown", "own"), ("a\n-- ", "a"),
         ("[quote=a]1[/quote]b[quote=c]2[/quote]d", "bd"), ("| a | b |\n| c | d |", "| a | b |\n| c | d |"), ("[quote open and never closed", "[quote open and never closed"),
     ],
 )
