@@ -1,8 +1,8 @@
 """JSON queries over logs, compiled to one Column.
 
 A body of the search language is parsed with ``json.loads`` and turned, recursively, into a boolean
-expression over doc_id, ts, fields and text; Catalyst does the rest. Every predicate is two-valued
-(unknown counts as no match), so negation is safe.
+expression over doc_id, ts, fields and text; Catalyst does the rest. What is unknown counts as no match:
+filters drop it by themselves, so leaves stay plain and can be pushed into scans, and negations say so.
 """
 
 from __future__ import annotations
@@ -39,8 +39,9 @@ UNSUPPORTED = (
 )
 
 
-def _known(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+def _not(c: Column) -> Column:
+    """Whether a document does not match; what is unknown does not."""
+    return ~F.coalesce(c, F.lit(False))
 
 
 def _all(parts: list[Column]) -> Column:
@@ -98,9 +99,9 @@ class Compiler:
         lower = lower or name in TEXT_FIELDS
         token = token.lower() if lower else token
         if self.terms and (name in TEXT_FIELDS or not lower):
-            return _known(F.array_contains(self.terms, token if name in TEXT_FIELDS else f"{name}~{token}"))
+            return F.array_contains(self.terms, token if name in TEXT_FIELDS else f"{name}~{token}")
         value = F.lower(self.value(name)) if lower else self.value(name)
-        return _known(value.contains(token) & F.array_contains(self._tokens(name, lower), token))
+        return value.contains(token) & F.array_contains(self._tokens(name, lower), token)
 
     def compile(self, query: dict) -> Column:
         kind, body = _single(query)
@@ -130,7 +131,7 @@ class Compiler:
             least = self.value(spec["minimum_should_match_field"]).try_cast("int")
         else:
             least = F.lit(int(spec.get("minimum_should_match", 1)))
-        return _known(found >= least)
+        return found >= least
 
     def _contains_all(self, name: str, text: str) -> Column:
         return _all([self.has_token(name, t) for t in query_tokens(text)])
@@ -143,7 +144,7 @@ class Compiler:
         if isinstance(most, str) and most.upper().startswith("AUTO"):
             most = 0 if len(value) < 3 else 1 if len(value) < 6 else 2
         near = lambda t: (F.levenshtein(t, F.lit(value), int(most)) >= 0) & t.startswith(value[:prefix])
-        return _known(F.exists(self._tokens(name, False), near))
+        return F.exists(self._tokens(name, False), near)
 
     # full text
 
@@ -157,24 +158,24 @@ class Compiler:
     def _q_match_phrase(self, body: dict) -> Column:
         name, spec = _single(body)
         phrase = str(spec["query"] if isinstance(spec, dict) else spec)
-        return _known(self.value(name).contains(phrase)) & self._contains_all(name, phrase)
+        return self.value(name).contains(phrase) & self._contains_all(name, phrase)
 
     def _q_match_phrase_prefix(self, body: dict) -> Column:
         name, spec = _single(body)
         phrase = str(spec["query"] if isinstance(spec, dict) else spec)
         value = self.value(name)
-        return _known(value.startswith(phrase) if len(query_tokens(phrase)) <= 1 else value.contains(phrase))
+        return value.startswith(phrase) if len(query_tokens(phrase)) <= 1 else value.contains(phrase)
 
     def _q_match_bool_prefix(self, body: dict) -> Column:
         name, spec = _single(body)
         found = query_tokens(str(spec["query"] if isinstance(spec, dict) else spec), True)
         if not found:
             return F.lit(False)
-        last = _known(F.exists(self._tokens(name, True), lambda t: t.startswith(found[-1])))
+        last = F.exists(self._tokens(name, True), lambda t: t.startswith(found[-1]))
         return _any([*(self.has_token(name, t, True) for t in found[:-1]), last])
 
     def _q_multi_match(self, body: dict) -> Column:
-        return _any([_known(self.value(f).contains(str(body["query"]))) for f in body["fields"]])
+        return _any([self.value(f).contains(str(body["query"])) for f in body["fields"]])
 
     def _q_more_like_this(self, body: dict) -> Column:
         like = body["like"] if isinstance(body["like"], list) else [body["like"]]
@@ -185,7 +186,7 @@ class Compiler:
             F.size(F.array_intersect(self._tokens(f, True), F.array(*[F.lit(t) for t in found]))) >= max(1, need)
             for f in body.get("fields", ["text"])
         ]
-        return _any([_known(p) for p in parts]) if found else F.lit(False)
+        return _any(parts) if found else F.lit(False)
 
     # parts of values
 
@@ -195,12 +196,12 @@ class Compiler:
         start, value = str(spec["value"]), self.value(name)
         if spec.get("case_insensitive", False):
             start, value = start.lower(), F.lower(value)
-        return _known(value.startswith(start))
+        return value.startswith(start)
 
     def _by_regex(self, name: str, pattern: str, lower: bool) -> Column:
         flags = "(?i)" if lower else ""
         head = "" if name in TEXT_FIELDS else "^"  # field terms carry their name in front
-        return _known(F.exists(self._tokens(name, False), lambda t: t.rlike(f"{flags}{head}(?:{pattern})")))
+        return F.exists(self._tokens(name, False), lambda t: t.rlike(f"{flags}{head}(?:{pattern})"))
 
     def _q_regexp(self, body: dict) -> Column:
         name, spec = _single(body)
@@ -225,13 +226,13 @@ class Compiler:
         parts = [tests[op](wrap(v)) for op, v in spec.items() if op in tests]
         if not parts:
             raise QueryError("a range without bounds")
-        return _known(_all(parts))
+        return _all(parts)
 
     def _q_exists(self, body: dict) -> Column:
         return self.value(body["field"]).isNotNull()
 
     def _q_ids(self, body: dict) -> Column:
-        return _known(F.col("doc_id").isin([int(v) for v in body["values"]]))
+        return F.col("doc_id").isin([int(v) for v in body["values"]])
 
     def _point(self, name: str) -> tuple[Column, Column]:
         parts = F.split(self.value(name), ",")
@@ -246,13 +247,13 @@ class Compiler:
         lat, lon = self._point(name)
         half = lambda c, x: F.pow(F.sin(F.radians(c - F.lit(float(x))) / 2), 2)
         a = half(lat, at["lat"]) + F.cos(F.radians(lat)) * math.cos(math.radians(float(at["lat"]))) * half(lon, at["lon"])
-        return _known(2 * 6371008.8 * F.asin(F.sqrt(F.least(a, F.lit(1.0)))) <= metres)
+        return 2 * 6371008.8 * F.asin(F.sqrt(F.least(a, F.lit(1.0)))) <= metres
 
     def _q_geo_bounding_box(self, body: dict) -> Column:
         name, box = _single(body)
         lat, lon = self._point(name)
         a, b = box["top_left"], box["bottom_right"]
-        return _known(lat.between(float(b["lat"]), float(a["lat"])) & lon.between(float(a["lon"]), float(b["lon"])))
+        return lat.between(float(b["lat"]), float(a["lat"])) & lon.between(float(a["lon"]), float(b["lon"]))
 
     # positions
 
@@ -262,14 +263,13 @@ class Compiler:
         at = lambda w: F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: F.element_at(found, i) == w)
 
         def run(order: tuple[str, ...]) -> Column:
+            def later(w: str, than: Column) -> Column:
+                return F.array_min(F.filter(at(w), lambda i: i > than))
+
             def end(start: Column) -> Column:
-                last = start
-                for w in order[1:]:
-                    before = last
-                    last = F.array_min(F.filter(at(w), lambda i, b=before: i > b))
-                return last
+                return reduce(lambda last, w: later(w, last), order[1:], start)
 
-            return F.exists(at(order[0]), lambda s: _known(end(s) - s + 1 - len(order) <= gaps))
+            return F.exists(at(order[0]), lambda s: end(s) - s + 1 - len(order) <= gaps)
 
         words = [w.lower() for w in words]
         if not words:
@@ -278,7 +278,7 @@ class Compiler:
         if len(orders) > 120:
             raise UnsupportedQuery("more than five words in any order")
         # without terms the sequence would run backwards
-        return _known((F.size(found) > 0) & _any([run(o) for o in orders]))
+        return (F.size(found) > 0) & _any([run(o) for o in orders])
 
     def _q_intervals(self, body: dict) -> Column:
         name, spec = _single(body)
@@ -315,12 +315,12 @@ class Compiler:
         return _any([self.compile(c) for c in body["clauses"]])
 
     def _q_span_not(self, body: dict) -> Column:
-        return self.compile(body["include"]) & ~self.compile(body["exclude"])
+        return self.compile(body["include"]) & _not(self.compile(body["exclude"]))
 
     def _q_span_first(self, body: dict) -> Column:
         name, words = self._span_words([body["match"]])
         at = F.array_position(self._tokens(name, True), words[0].lower())
-        return _known((at > 0) & (at <= int(body["end"])))
+        return (at > 0) & (at <= int(body["end"]))
 
     # combinations
 
@@ -339,7 +339,7 @@ class Compiler:
             wanted = _all(must) & (some if "minimum_should_match" in body else F.lit(True)) if self.strict else _all(must) | some
         else:
             wanted = _all(must) if must else some
-        return wanted & ~_any(must_not) if must_not else wanted
+        return wanted & _not(_any(must_not)) if must_not else wanted
 
     def _q_boosting(self, body: dict) -> Column:
         return self.compile(body["positive"])
@@ -417,7 +417,7 @@ class _QueryString:
         word = self._next()
         names = names or self.fields
         if word in ("NOT", "-", "!"):
-            return ~self._one(names)
+            return _not(self._one(names))
         if word == "+":
             return self._one(names)
         if word == "(":
