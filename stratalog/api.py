@@ -44,8 +44,7 @@ class Engine:
         objects = ingest.json_objects(self._bodies(bodies))
         if not isinstance(bodies, DataFrame) and objects.filter("error is not null").limit(1).count():
             raise ValueError("Invalid entry")
-        first = int(dt.datetime.now(dt.timezone.utc).timestamp() * 1000) << 20
-        rows = ingest.with_ids(ingest.logs_of(objects), first)
+        rows = ingest.with_ids(ingest.logs_of(objects), self.catalog.next_id(index))
         self.catalog.append_logs(index, rows)
         return rows.select("doc_id")
 
@@ -58,10 +57,10 @@ class Engine:
         frame = self.spark.createDataFrame(lines, "request int, line_no int, body string")
         pairs = ingest.bulk_pairs(frame)
         names = [r["index_name"] for r in pairs.filter("error is null and action in ('index', 'create')").select("index_name").distinct().collect()]
-        first = int(dt.datetime.now(dt.timezone.utc).timestamp() * 1000) << 20
-        logs = ingest.with_ids(ingest.bulk_logs(frame), first)
+        logs = ingest.bulk_logs(frame)
         for name in names:
-            self.catalog.append_logs(name, logs.filter(F.col("index_name") == name))
+            own = logs.filter(F.col("index_name") == name)
+            self.catalog.append_logs(name, ingest.with_ids(own, self.catalog.next_id(name)))
         counts = pairs.agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("bad")).first()
         return {"errors": counts["bad"] > 0, "items": counts["n"]}
 

@@ -280,7 +280,7 @@ def implausible_readings(
     readings: DataFrame,
     limits: DataFrame,
     threshold: float = 5.0,
-    part_rows: int = 500_000,
+    part_rows: int = 100_000,
     halo_rows: int = 200,
 ) -> DataFrame:
     """Rows of readings that cannot be right: entry_id, kind (impossible, spike, stuck), score.

@@ -95,7 +95,8 @@ class MetricEngine:
 
     ``start`` and ``end`` bound the points of selectors, both included; ``eval_ts`` is the time that ranges
     end at and that folded results carry (now, unless given). ``compat`` gives the reading of ``deriv`` that
-    divides by the time span once more, and ``increase`` as last minus first.
+    divides by the time span once more, and ``increase`` as last minus first. ``approximate`` takes quantiles
+    from mergeable sketches (rank error 1 in 10,000) where a group is too large for exact ones.
     """
 
     metrics: DataFrame
@@ -104,6 +105,7 @@ class MetricEngine:
     end: dt.datetime | None = None
     pairing: str = "position"
     compat: bool = False
+    approximate: bool = False
     _now: dt.datetime = field(init=False)
 
     def __post_init__(self) -> None:
@@ -264,7 +266,8 @@ class MetricEngine:
             if not 0 <= share <= 1:
                 return df.groupBy("label_key").agg(F.first("labels").alias("labels"), F.lit(-INF if share < 0 else INF).alias("value")).withColumn("ts", self.now)
             # nearest rank; the point of that value that comes first gives the time
-            ranked = df.groupBy("label_key").agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY value)").alias("__q"))
+            exact = F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY value)")
+            ranked = df.groupBy("label_key").agg((self._sketch(value, share) if self.approximate else exact).alias("__q"))
             found = df.join(ranked, "label_key").filter(value == F.col("__q"))
             return found.groupBy("label_key").agg(F.first("labels").alias("labels"), F.min("ts").alias("ts"), F.first("value").alias("value"))
         if a.op not in folds:
@@ -322,6 +325,10 @@ class MetricEngine:
     def _over_time(self, df: DataFrame, value: Column) -> DataFrame:
         return self._fold(df, value.cast("double").alias("value")).withColumn("ts", self.now)
 
+    @staticmethod
+    def _sketch(value: Column, share: Column | float) -> Column:
+        return F.percentile_approx(value, share, 10_000)
+
     def _f_avg_over_time(self, df: DataFrame) -> DataFrame:
         return self._over_time(df, F.avg("value"))
 
@@ -351,14 +358,17 @@ class MetricEngine:
 
     def _f_quantile_over_time(self, df: DataFrame, share: Column) -> DataFrame:
         """The value of rank round(share * n), the lowest where that is 0; NaN beyond the last."""
+        if self.approximate:
+            return self._over_time(df, self._sketch(F.col("value"), share))
         values = F.array_sort(F.collect_list("value"))
         out = self._fold(df, values.alias("__all"))
         rank = F.greatest(F.round(share * F.size("__all")), F.lit(1)).cast("int")
         return out.withColumn("value", F.coalesce(F.get("__all", rank - 1), F.lit(NAN))).withColumn("ts", self.now)
 
     def _f_mad_over_time(self, df: DataFrame) -> DataFrame:
-        middle = df.groupBy("label_key").agg(F.percentile("value", F.lit(0.5)).alias("__m"))
-        return self._over_time(df.join(middle, "label_key"), F.percentile(F.abs(F.col("value") - F.col("__m")), F.lit(0.5)))
+        median = (lambda c: self._sketch(c, 0.5)) if self.approximate else (lambda c: F.percentile(c, F.lit(0.5)))
+        middle = df.groupBy("label_key").agg(median(F.col("value")).alias("__m"))
+        return self._over_time(df.join(middle, "label_key"), median(F.abs(F.col("value") - F.col("__m"))))
 
     def _f_changes(self, df: DataFrame) -> DataFrame:
         return neighbours(df, _differs).select("label_key", "labels", self.now.alias("ts"), F.col("total").alias("value"))
@@ -422,23 +432,56 @@ class MetricEngine:
         return self._line(df).select("label_key", "labels", F.timestamp_seconds(at).alias("ts"), F.coalesce(value, F.lit(NAN)).alias("value"))
 
     def _f_holt_winters(self, df: DataFrame, alpha: Column, beta: Column) -> DataFrame:
-        """Every point gives the forecast for the next one, the last its value plus the trend. A series' range is folded as one array."""
-        points = F.array_sort(F.collect_list(_point()))
-        df = self._fold(df, points.alias("__p"))
-        first, second = F.get("__p", F.lit(0))["value"], F.get("__p", F.lit(1))["value"]
-        start = F.struct(first.alias("l"), F.coalesce(second - first, F.lit(0.0)).alias("b"), F.array().cast("array<double>").alias("out"))
-
-        def step(s: Column, p: Column) -> Column:
-            level = alpha * p["value"] + (1 - alpha) * (s["l"] + s["b"])
-            trend = beta * (level - s["l"]) + (1 - beta) * s["b"]
-            return F.struct(level.alias("l"), trend.alias("b"), F.concat(s["out"], F.array(s["l"] + s["b"])).alias("out"))
-
-        rest = F.slice("__p", 2, F.greatest(F.size("__p") - 1, F.lit(0)))
-        df = df.withColumn("__s", F.aggregate(rest, start, step))
+        """Every point gives the forecast for the next one, the last its value plus the trend.
+
+        A step is linear in level and trend, so the steps of a day are one matrix and one vector. Days are
+        summed up so, their start states follow from a fold over days, and then each day is smoothed by itself.
+        """
+        days = df.groupBy("label_key", F.to_date("ts").alias("__day")).agg(F.first("labels").alias("labels"), F.array_sort(F.collect_list(_point())).alias("__p"))
+
+        def step(s: Column, v: Column) -> tuple[Column, Column]:
+            level = alpha * v + (1 - alpha) * (s["l"] + s["b"])
+            return level, beta * (level - s["l"]) + (1 - beta) * s["b"]
+
+        def state(level: Column, trend: Column) -> Column:
+            return F.struct(level.cast("double").alias("l"), trend.cast("double").alias("b"))
+
+        def run(points: Column, start: Column, zero: bool = False) -> Column:
+            return F.aggregate(points, start, lambda s, p: state(*step(s, F.lit(0.0) if zero else p["value"])))
+
+        def whole(points: Column) -> Column:
+            one, none = F.lit(1.0), F.lit(0.0)
+            return F.struct(run(points, state(one, none), True).alias("x"), run(points, state(none, one), True).alias("y"), run(points, state(none, none)).alias("w"))
+
+        rest = lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))
+        sums = days.select(
+            "label_key", F.struct(F.col("__day").alias("day"), F.get("__p", F.lit(0))["value"].alias("v0"), F.get("__p", F.lit(1))["value"].alias("v1"), whole(F.col("__p")).alias("all"), whole(rest("__p")).alias("tail")).alias("d")
+        )
+        folded = sums.groupBy("label_key").agg(F.array_sort(F.collect_list("d")).alias("d"))
+        first = F.get("d", F.lit(0))
+        second = F.coalesce(first["v1"], F.get("d", F.lit(1))["v0"], first["v0"])
+        spot = "array<struct<day:date,l:double,b:double,first:boolean>>"
+        begin = F.struct(first["v0"].alias("l"), (second - first["v0"]).alias("b"), F.array().cast(spot).alias("out"))
+
+        def over(s: Column, d: Column) -> Column:
+            is_first = F.size(s["out"]) == 0
+            m = F.when(is_first, d["tail"]).otherwise(d["all"])
+            move = lambda k: m["x"][k] * s["l"] + m["y"][k] * s["b"] + m["w"][k]
+            here = F.struct(d["day"].alias("day"), s["l"].alias("l"), s["b"].alias("b"), is_first.alias("first"))
+            return F.struct(move("l").alias("l"), move("b").alias("b"), F.concat(s["out"], F.array(here)).alias("out"))
+
+        starts = folded.select("label_key", F.element_at("d", -1)["day"].alias("__end"), F.inline(F.aggregate("d", begin, over)["out"]).alias("__day", "__l", "__b", "__first"))
+        joined = days.join(starts, ["label_key", "__day"])
+        smooth = F.struct(F.col("__l").alias("l"), F.col("__b").alias("b"), F.when(F.col("__first"), F.array(F.col("__l") + F.col("__b"))).otherwise(F.array().cast("array<double>")).alias("out"))
+
+        def forecast(s: Column, p: Column) -> Column:
+            level, trend = step(s, p["value"])
+            return F.struct(level.alias("l"), trend.alias("b"), F.concat(s["out"], F.array(level + trend)).alias("out"))
+
+        done = joined.withColumn("__s", F.aggregate(F.when(F.col("__first"), rest("__p")).otherwise(F.col("__p")), smooth, forecast))
         last = F.element_at("__p", -1)["value"] + F.col("__s.b")
-        values = F.concat(F.col("__s.out"), F.array(last))
-        pairs = F.arrays_zip(F.col("__p.ts").alias("ts"), values.alias("value"))
-        return df.select("label_key", "labels", F.inline(pairs).alias("ts", "value"))
+        values = F.when(F.col("__day") == F.col("__end"), F.concat(F.slice("__s.out", 1, F.size("__p") - 1), F.array(last))).otherwise(F.col("__s.out"))
+        return done.select("label_key", "labels", F.inline(F.arrays_zip(F.col("__p.ts").alias("ts"), values.alias("value"))).alias("ts", "value"))
 
     def _f_sort(self, df: DataFrame) -> DataFrame:
         return df.orderBy(F.col("value").asc(), "label_key", "ts")

@@ -45,7 +45,7 @@ def shown(vector: DataFrame) -> DataFrame:
 def _query(name: str, expression: str, sql: str | None, engine: Callable[..., MetricEngine] = _events, base: str = _EVENTS, **more: object) -> None:
     QUERIES[name] = lambda spark, d: shown(engine(spark, d, **more).query(expression))
     if sql is not None:
-        ORACLES[name] = f"with {base} {sql}" if sql.startswith(("select", ",")) else sql
+        ORACLES[name] = f"with {base} {sql}" if sql.startswith(("select", ",")) else sql  # ready made
 
 
 def _each(name: str, expression: str, value: str, where: str = "true", **more: object) -> None:
@@ -147,7 +147,15 @@ _SLOPE = "regr_slope(value, epoch_us(ts) / 1e6)"
 _series("fn_deriv", f"deriv({V} * 1000000)", "case when count(*) < 2 then 'nan'::double else regr_slope(value * 1000000, epoch_us(ts) / 1e6) end", "max(ts)", "label_key in (select label_key from m group by 1 having count(*) > 1)")
 QUERIES["fn_deriv"] = lambda spark, d: shown(_events(spark, d).query(f"deriv({V} * 1000000)")).filter(~F.isnan("value"))
 _query("fn_predict_linear", f"predict_linear({V}, 1706745600)", f"select label_key, timestamp '2024-02-01 00:00:00' as ts, round(case when count(*) < 2 then max(value) else avg(value) + {_SLOPE} * (1706745600 - avg(epoch_us(ts) / 1e6)) end, 7) as value from m group by label_key")
-_query("fn_holt_winters", f"holt_winters({V}, 0.8, 0.2)", None)
+_query("fn_holt_winters", f"holt_winters({V}, 0.8, 0.2)", f"""with recursive {_EVENTS},
+o as (select label_key, ts, value, row_number() over w as r, lead(value) over w as following, count(*) over (partition by label_key) as n from m window w as (partition by label_key order by ts, value)),
+h as (
+  select label_key, r, value as l, coalesce(following - value, 0) as b from o where r = 1
+  union all
+  select o.label_key, o.r, 0.8::double * o.value + 0.2::double * (h.l + h.b),
+         0.2::double * (0.8::double * o.value + 0.2::double * (h.l + h.b) - h.l) + 0.8::double * h.b
+  from h join o on o.label_key = h.label_key and o.r = h.r + 1)
+select label_key, ts, round(case when r = n then value + b else l + b end, 7) as value from h join o using (label_key, r)""")
 _series("fn_avg_over_time", f"avg_over_time({V}[20d])", "avg(value)", where=f"ts > {_NOW} - interval 20 days and ts <= {_NOW}")
 for _name, _sql in {"min": "min(value)", "max": "max(value)", "sum": "sum(value)", "count": "count(*)::double", "stddev": "stddev_pop(value)", "stdvar": "var_pop(value)", "present": "max(1.0)::double"}.items():
     _series(f"fn_{_name}_over_time", f"{_name}_over_time({V})", _sql)

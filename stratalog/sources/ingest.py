@@ -104,8 +104,11 @@ def bulk_logs(lines: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def with_ids(logs: DataFrame, first: int = 0) -> DataFrame:
-    """Adds doc_id: unique numbers from ``first`` on that rise within a partition; no shuffle is needed."""
-    return logs.withColumn("doc_id", F.lit(first).cast("bigint") + F.monotonically_increasing_id())
+    """Adds doc_id: unique numbers from ``first`` on that rise within a partition; no shuffle is needed.
+
+    Partitions are 2**33 apart and put together to at most 1,000, so a batch takes up less than 2**43 numbers.
+    """
+    return logs.coalesce(1000).withColumn("doc_id", F.lit(first).cast("bigint") + F.monotonically_increasing_id())
 
 
 def with_terms(logs: DataFrame) -> DataFrame:

@@ -86,6 +86,12 @@ class Catalog:
         rows = with_terms(logs.select("doc_id", "ts", "fields", "text")).withColumn("dt", F.to_date("ts"))
         self._append(rows, f"{self.path(index)}/logs")
 
+    def next_id(self, index: str) -> int:
+        """The first free document id: one above the highest, deleted documents included. One writer an index."""
+        found = self._read(index, "logs", LOGS)
+        highest = found.agg(F.max("doc_id")).first()[0] if found is not None else None
+        return 0 if highest is None else highest + 1
+
     def append_metrics(self, index: str, metrics: DataFrame) -> None:
         """Appends points (name, labels, ts, value)."""
         rows = metrics.select("name", "labels", "ts", "value").withColumn("dt", F.to_date("ts"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stratalog.sources.ingest import json_objects, logs_of, metrics_of, with_terms
+from stratalog.sources.ingest import json_objects, logs_of, metrics_of, with_ids, with_terms
 from stratalog.sources.store import Catalog
 
 
@@ -17,11 +17,10 @@ def json_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
 
 def stream_logs(catalog: Catalog, index: str, source: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Appends a stream of JSON bodies to an index. The checkpoint takes the place of a write-ahead log: after
-    a crash the query goes on where its last commit left off, and ids are unique within a batch's partition."""
+    a crash the query goes on where its last commit left off. Ids go on from the highest of the index."""
 
-    def write(batch: DataFrame, number: int) -> None:
-        rows = logs_of(json_objects(batch)).withColumn("doc_id", F.shiftleft(F.lit(number).cast("bigint"), 43) + F.monotonically_increasing_id())
-        catalog.append_logs(index, rows)
+    def write(batch: DataFrame, _: int) -> None:
+        catalog.append_logs(index, with_ids(logs_of(json_objects(batch)), catalog.next_id(index)))
 
     writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()

@@ -49,6 +49,24 @@ def test_holt_winters_and_compat(spark):
     assert _one(spark, "holt_winters(m, 0.5, 0.5)", [(1, 3.0)]) == [(1.0, 3.0)]
 
 
+def test_sketched_quantiles(spark):
+    points = [(k, float(k * 37 % 1000)) for k in range(1000)]
+    for expression, value in (("quantile(0.9, m)", 899), ("quantile_over_time(m, 0.5)", 499), ("mad_over_time(m)", 250)):
+        assert abs(_one(spark, expression, points, approximate=True)[0][1] - value) <= 2
+
+
+def test_holt_winters_over_days(spark):
+    day = 86400
+    points = [(day * d + 60 * k, float((7 * d + 3 * k * k) % 11)) for d, n in enumerate((1, 4, 2, 5)) for k in range(n)]
+    values = [v for _, v in points]
+    level, trend, want = values[0], values[1] - values[0], []
+    for v in values[1:]:
+        want.append(level + trend)
+        new = 0.6 * v + 0.4 * (level + trend)
+        level, trend = new, 0.3 * (new - level) + 0.7 * trend
+    assert [v for _, v in _one(spark, "holt_winters(m, 0.6, 0.3)", points)] == pytest.approx([*want, values[-1] + trend])
+
+
 def test_nan_by_ieee(spark):
     nan = math.nan
     assert _one(spark, "m == m", [(1, nan)]) == [(1.0, 0.0)]
