@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: runs of letters, digits and underscores, joined by single dots or straight apostrophes
-TERM = r"[\p{L}\p{N}_]+(?:[.'][\p{L}\p{N}_]+)*"
+from stratalog.functions.analysis import tokens
+
 COUNTS = "origin string, term string, occurrences bigint, records bigint"
 
 
 def text_terms(text: Column) -> Column:
-    """Terms of a text in lower case; none for a null text."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), F.array().cast("array<string>"))
+    """Terms of a text in lower case, by the engine's analyser; none for a null text."""
+    return tokens(text, True)
 
 
 def field_terms(fields: Column) -> Column:
@@ -116,9 +116,11 @@ def term_frequencies(df: DataFrame, record: str, terms: dict[str, Column], most:
     terms, an empty table gives no rows. A task hands on its counters when it holds over ``most``.
     """
     alone = F.lit(-1).cast("bigint") - F.monotonically_increasing_id()
-    rows = df.select(F.coalesce(F.col(record).cast("bigint"), alone).alias("__record"), *[c.alias(o) for o, c in terms.items()])
-    rows = rows.withColumn("__content", F.xxhash64(*[F.col(o) for o in terms])).select("__record", "__content", *terms)
-    ordered = rows.repartition("__record").sortWithinPartitions("__record", "__content")
+    # rows travel as they are, which is a third of the size of their terms
+    spread = df.withColumn("__record", F.coalesce(F.col(record).cast("bigint"), alone)).repartition("__record")
+    rows = spread.select("__record", *[c.alias(o) for o, c in terms.items()])
+    rows = rows.withColumn("__content", F.xxhash64(*terms)).select("__record", "__content", *terms)
+    ordered = rows.sortWithinPartitions("__record", "__content")
     partial = ordered.mapInArrow(lambda batches: _count(batches, most), COUNTS)
     return partial.groupBy("origin", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
