@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stratalog.session import cut
+
 # Spellings of levels, severities of syslog, letters of month names and levels.
 LEVELS = {
     "trace": "TRACE", "debug": "DEBUG", "dbg": "DEBUG", "info": "INFO", "information": "INFO", "notice": "INFO",
@@ -360,7 +362,8 @@ def assemble_entries(lines: DataFrame, with_text: bool = False) -> DataFrame:
     """Entries of parsed lines: stream, first_id, last_id, ts_ms, log_level, component (and message, ...).
 
     ``lines`` has log_message_id, stream, file_no, line_no and PARSED (and ``text`` with ``with_text``,
-    which gives the whole text of the entry). Copies of a line count once. Lines are put in order
+    which gives the whole text of the entry and adds the texts of its later rows to its message).
+    Copies of a line count once. Lines are put in order
     within a file; a file that opens with lines of an entry of an earlier file is joined to that one
     over a summary of one row a file, so no task gets a whole stream. Lines before the first entry
     of a stream belong to none.
@@ -374,21 +377,36 @@ def assemble_entries(lines: DataFrame, with_text: bool = False) -> DataFrame:
     place = F.struct("line_no", "log_message_id")
     parts = marked.groupBy("stream", "file_no", "first_id").agg(
         F.max(place).alias("__last"), *[F.min_by(c, place).alias(c) for c in head],
-        *([F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text")] if with_text else []),
+        *([F.transform(F.array_sort(F.collect_list(F.struct("line_no", "log_message_id", "text"))), lambda x: x["text"]).alias("__texts")] if with_text else []),
     )
+    if with_text:
+        parts = cut(parts)  # read three times, else lines are parsed as often
     entries = parts.filter(F.col("first_id").isNotNull())
     files = parts.groupBy("stream", "file_no").agg(
         F.max_by("first_id", F.when(F.col("first_id").isNotNull(), F.col("__last"))).alias("__open"),
         F.max(F.when(F.col("first_id").isNull(), F.col("__last.log_message_id"))).alias("__carried"),
     )
     earlier = Window.partitionBy("stream").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        files.withColumn("first_id", F.last("__open", True).over(earlier))
-        .filter(F.col("__carried").isNotNull() & F.col("first_id").isNotNull())
-        .groupBy("stream", "first_id")
-        .agg(F.max_by("__carried", "file_no").alias("__carried"))
+    owed = files.withColumn("first_id", F.last("__open", True).over(earlier)).filter(
+        F.col("__carried").isNotNull() & F.col("first_id").isNotNull()
     )
+    if with_text:  # texts meet their entry only after the summary, so no task gets those of a whole stream
+        heads = parts.filter(F.col("first_id").isNull()).select("stream", "file_no", "__texts")
+        owed = owed.join(heads, ["stream", "file_no"])
+    carried = owed.groupBy("stream", "first_id").agg(
+        F.max_by("__carried", "file_no").alias("__carried"),
+        *([F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("file_no", "__texts"))), lambda x: x["__texts"])).alias("__later")] if with_text else []),
+    )
     joined = entries.join(carried, ["stream", "first_id"], "left")
+    if with_text:
+        later = F.coalesce("__later", F.array().cast("array<string>"))
+        rest = F.concat(F.slice("__texts", F.lit(2), F.size("__texts")), later)
+        joined = joined.withColumns(
+            {
+                "text": F.array_join(F.concat("__texts", later), "\n"),
+                "message": F.array_join(F.concat(F.array("message"), rest), "\n"),
+            }
+        )
     return joined.select(
         "stream", "first_id", F.coalesce("__carried", F.col("__last.log_message_id")).alias("last_id"), *head,
         *(["text"] if with_text else []),
@@ -423,8 +441,8 @@ def log_entries(messages: DataFrame, access: DataFrame | None = None, with_text:
 
     ``messages``: log_message_id, stream, file_no, line_no, time, text; rows of null text are skipped.
     ``access``: entry_id, date, request, user_agent. Result: source_table, first_id, last_id, ts_ms
-    (-1 without a stamp), log_level and component ('' where the layout has none), and message,
-    request, user_agent with ``with_text``. Other columns of the inputs are ignored; empty tables
+    (-1 without a stamp), log_level and component ('' where the layout has none), and message (with
+    all later rows of the entry), request, user_agent with ``with_text``. Other columns of the inputs are ignored; empty tables
     give no rows.
     """
     rows = messages.filter(F.col("text").isNotNull())

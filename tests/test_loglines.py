@@ -79,6 +79,19 @@ def test_entries_over_lines_files_and_streams(spark):
     assert text[1] == f"{start}\n\tat x\n  more"
 
 
+def test_messages_hold_all_rows_of_their_entries(spark):
+    start = "2024-03-09 18:50:36,811 [worker-9] INFO  http - parcel parked"
+    lines = [
+        ("a", 1, 1, start), ("a", 1, 2, start), ("a", 1, 3, "\tat x\n\tat y"), ("a", 2, 1, "\tat z"), ("a", 2, 2, "}"), ("a", 10, 1, " end"),
+        ("a", 10, 2, start), ("b", 1, 1, "lost"), ("b", 1, 2, start + "\nSELECT 1"), ("b", 2, 1, start),
+    ]
+    got = {(r["first_id"], r["last_id"]): r["message"] for r in log_entries(_messages(spark, lines), with_text=True).collect()}
+    assert got == {
+        (1, 1): "parcel parked", (2, 6): "parcel parked\n\tat x\n\tat y\n\tat z\n}\n end", (7, 7): "parcel parked",
+        (9, 9): "parcel parked\nSELECT 1", (10, 10): "parcel parked",
+    }
+
+
 def _parsed(spark, lines):
     from pyspark.sql import functions as F
 
