@@ -25,6 +25,8 @@ from stratalog.schema import label_key, micros
 from stratalog.session import cut
 
 FLAGS = "entry_id bigint, kind string, score double"
+#: equal values in a row that make a source stuck
+STUCK = 10
 
 
 def kalman(
@@ -93,16 +95,30 @@ def _equal_runs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(v)]])
 
 
+def _free_pairs(v: np.ndarray, stuck: int) -> tuple[np.ndarray, np.ndarray]:
+    """Successive readings that are both outside runs of ``stuck`` equal values, and those of them that differ."""
+    starts, ends = _equal_runs(v)
+    size = ends - starts
+    free = np.repeat(size < stuck, size)
+    pairs = free[1:] & free[:-1]
+    return pairs, pairs & (v[1:] != v[:-1])
+
+
+def _is_lively(pairs: int, changes: int) -> bool:
+    """Whether a source's value otherwise changes at most readings."""
+    return pairs >= 5 and changes * 2 > pairs
+
+
 def check_source(
     t: np.ndarray, v: np.ndarray, scores: np.ndarray, still: np.ndarray, counter: bool, usual: float,
-    factor: float = 10.0, longest: int = 3, stuck: int = 10, around: int = 5,
+    factor: float = 10.0, longest: int = 3, stuck: int = STUCK, around: int = 5, lively: bool | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """The exact check of one source's candidates: masks of spikes and of stuck readings.
 
     A spike is a run of at most ``longest`` readings, each further than ``factor`` times ``usual``
     from the level of the readings around it (a counter's rising course), where the readings after
     come back to that level. A stuck run has at least ``stuck`` equal values, in a source where most
-    other successive readings differ.
+    other successive readings differ; ``lively`` says so for a part of a source, None means to count.
     """
     n = len(v)
     spike, frozen = np.zeros(n, bool), np.zeros(n, bool)
@@ -150,11 +166,9 @@ def check_source(
         size = ends - starts
         long = size >= stuck
         if long.any():
-            # changes between readings that are both outside long runs
-            free = np.repeat(~long, size)
-            pairs = free[1:] & free[:-1]
-            changes = pairs & (v[1:] != v[:-1])
-            if pairs.sum() >= 5 and changes.sum() * 2 > pairs.sum():
+            if lively is None:
+                lively = _is_lively(*(int(x.sum()) for x in _free_pairs(v, stuck)))
+            if lively:
                 for a, b in zip(starts[long], ends[long]):
                     if still[a:b].any():
                         frozen[a:b] = True
@@ -185,7 +199,9 @@ def _flag_sources(table: pa.Table, starts: np.ndarray, threshold: float) -> pa.T
     entry, counter = table.column("entry_id").to_numpy(), table.column("counter").to_numpy()
     low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
     own = table.column("own").to_numpy()
-    usual_given = table.column("usual").to_numpy()
+    # of sources that are cut into parts, figures of the whole source: NaN and -1 where they are to be taken from the rows
+    usual_given, moving_given, pace_given = (table.column(c).to_numpy() for c in ("usual", "moving", "pace"))
+    lively_given = table.column("lively").to_numpy()
     group = np.zeros(n, np.int64)
     group[starts] = 1
     group = np.cumsum(group) - 1
@@ -228,17 +244,20 @@ def _flag_sources(table: pa.Table, starts: np.ndarray, threshold: float) -> pa.T
                 usual = np.nanmedian(change, axis=0)
                 moving = np.nanmedian(np.where(change > 0, change, np.nan), axis=0)
                 pace = np.nanmedian(step, axis=0)
-            given = usual_given[at][good][first[block]]
-            usual = np.where(np.isfinite(given), given, usual)
+            head = at[good[first[block]]]
+            usual = np.where(np.isfinite(usual_given[head]), usual_given[head], usual)
+            moving = np.where(np.isfinite(moving_given[head]), moving_given[head], moving)
+            pace = np.where(np.isfinite(pace_given[head]), pace_given[head], pace)
             scale = np.where(usual > 0, usual, np.where(np.isfinite(moving), moving, 1.0))
             pace = np.where(np.isfinite(pace) & (pace > 0), pace, 1.0)
-            rising = counter[at][good][first[block]].astype(bool)
+            rising = counter[head].astype(bool)
             scores, still = kalman((tm - tm[0]) / pace, vm, size, scale, rising, threshold)
             hit = np.flatnonzero(((scores > 0).any(axis=0)) | still.any(axis=0))
             for c in hit:
                 k = int(size[c])
                 where = slice(first[block[c]], first[block[c]] + k)
-                spike, frozen = check_source(t[where], v[where], scores[:k, c], still[:k, c], bool(rising[c]), float(usual[c]))
+                lively = None if lively_given[head[c]] < 0 else bool(lively_given[head[c]])
+                spike, frozen = check_source(t[where], v[where], scores[:k, c], still[:k, c], bool(rising[c]), float(usual[c]), lively=lively)
                 target = good[where]
                 kind[target[spike]], score[target[spike]] = 2, scores[:k, c][spike]
                 kind[target[frozen]] = np.where(kind[target[frozen]] == 0, 3, kind[target[frozen]])
@@ -254,11 +273,7 @@ def _flag_sources(table: pa.Table, starts: np.ndarray, threshold: float) -> pa.T
 
 
 def _long_sources(rows: DataFrame, part_rows: int) -> DataFrame:
-    """Sources of more than ``part_rows`` rows: their span, number of parts and usual change.
-
-    The usual change is an approximate median over changes within fixed slices of time, so that no
-    task sorts a whole source.
-    """
+    """Sources of more than ``part_rows`` rows: their number of parts, and slices of time to number their readings in."""
     span = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
     many = span.filter(F.col("n") > part_rows).select(
         "h1", "h2", "t0", F.ceil(F.col("n") / part_rows).alias("parts"),
@@ -267,13 +282,73 @@ def _long_sources(rows: DataFrame, part_rows: int) -> DataFrame:
     return cut(many)
 
 
-def _usual_change(rows: DataFrame, many: DataFrame) -> DataFrame:
-    """The usual change of the sources in ``many``."""
-    own = rows.join(many, ["h1", "h2"]).withColumn("part", F.floor((F.col("t") - F.col("t0")) / F.col("width")))
-    own = own.filter(~F.isnan("v") & (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
-    once = own.groupBy("h1", "h2", "part", "t").agg(F.first("v").alias("v"))
-    change = F.abs(F.col("v") - F.lag("v").over(Window.partitionBy("h1", "h2", "part").orderBy("t")))
-    return once.withColumn("change", change).groupBy("h1", "h2").agg(F.percentile_approx("change", 0.5, 10_000).alias("usual"))
+def _number_readings(rows: DataFrame, many: DataFrame) -> DataFrame:
+    """Rows of the sources in ``many`` with ``place``, the number of their reading among the plausible ones
+    of the source from 0, and its ``total``; ``first`` marks one row of a plausible reading, ``bad`` the
+    rows of the others.
+
+    Readings are numbered within slices of time and slices over one row each, so no task sorts a whole source.
+    """
+    own = rows.join(many, ["h1", "h2"]).withColumn("slice", F.floor((F.col("t") - F.col("t0")) / F.col("width"))).repartition("h1", "h2", "slice")
+    reading = Window.partitionBy("h1", "h2", "slice", "t")
+    wrong = F.isnan("v") | (F.abs("v") == float("inf")) | (F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))
+    own = own.withColumns({"bad": F.max(wrong).over(reading), "__nth": F.row_number().over(reading.orderBy("entry_id"))})
+    own = own.withColumn("first", ~F.col("bad") & (F.col("__nth") == 1))
+    # rows of one time are peers in the order of time, so all rows of a reading get one number
+    own = own.withColumn("__in", F.sum(F.col("first").cast("bigint")).over(Window.partitionBy("h1", "h2", "slice").orderBy("t")))
+    source = Window.partitionBy("h1", "h2")
+    slices = own.groupBy("h1", "h2", "slice").agg(F.max("__in").alias("__n"))
+    slices = slices.select(
+        "h1", "h2", "slice", F.sum("__n").over(source).alias("total"),
+        F.coalesce(F.sum("__n").over(source.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+    )
+    return own.join(slices, ["h1", "h2", "slice"]).withColumn("place", F.greatest(F.lit(0), F.col("__before") + F.col("__in") - 1))
+
+
+def _cut_sources(numbered: DataFrame, halo: int) -> DataFrame:
+    """Numbered rows by parts of like numbers of readings, each with ``halo`` readings more at either end.
+
+    Rows of implausible readings serve no other and are dealt out by their time.
+    """
+    size = F.greatest(F.lit(1), F.ceil(F.col("total") / F.col("parts"))).cast("bigint")
+    of = lambda place: F.floor(place / size).cast("bigint")
+    dealt = F.pmod(F.xxhash64("t"), F.col("parts")).cast("bigint")
+    near = F.sequence(of(F.greatest(F.lit(0), F.col("place") - halo)), of(F.least(F.col("total") - 1, F.col("place") + halo)))
+    split = numbered.withColumn("home", F.when(F.col("bad"), dealt).otherwise(of(F.col("place"))))
+    split = split.withColumn("part", F.explode(F.when(F.col("bad"), F.array(dealt)).otherwise(near)))
+    return split.withColumn("own", F.col("part") == F.col("home"))
+
+
+def _usual_changes(numbered: DataFrame) -> DataFrame:
+    """The usual change of whole sources, the usual of those that are none, and the usual time between readings.
+
+    Approximate medians within slices of time.
+    """
+    before = Window.partitionBy("h1", "h2", "slice").orderBy("t")
+    change, step = F.abs(F.col("v") - F.lag("v").over(before)), (F.col("t") - F.lag("t").over(before)) / 1e6
+    median = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    return numbered.filter("first").select("h1", "h2", change.alias("change"), step.alias("step")).groupBy("h1", "h2").agg(
+        median("change").alias("usual"), median(F.when(F.col("change") > 0, F.col("change"))).alias("moving"), median("step").alias("pace")
+    )
+
+
+def _count_pairs(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    """Pairs of a part's own readings outside long runs, and the changes among them."""
+    v, own = table.column("v").to_numpy(), table.column("own").to_numpy()
+    counts = []
+    for a, b in zip(starts, [*starts[1:], table.num_rows]):
+        pairs, changes = _free_pairs(v[a:b], STUCK)
+        counts.append((int((pairs & own[a + 1 : b]).sum()), int((changes & own[a + 1 : b]).sum())))
+    heads = table.select(["h1", "h2"]).take(pa.array(starts))
+    return heads.append_column("pairs", pa.array([c[0] for c in counts], pa.int64())).append_column("changes", pa.array([c[1] for c in counts], pa.int64()))
+
+
+def _lively_sources(split: DataFrame) -> DataFrame:
+    """Whether a source's value otherwise changes at most readings, over partial counts of its parts."""
+    rows = split.filter("first").select("h1", "h2", "part", "t", "v", "own")
+    counts = map_sorted_groups(rows, ["h1", "h2", "part"], ["t"], _count_pairs, "h1 bigint, h2 int, pairs bigint, changes bigint")
+    lively = (F.sum("pairs") >= 5) & (F.sum("changes") * 2 > F.sum("pairs"))
+    return counts.groupBy("h1", "h2").agg(lively.cast("int").alias("lively"))
 
 
 def implausible_readings(
@@ -291,8 +366,10 @@ def implausible_readings(
 
     A source is a metric and a set of labels in any order (null names and null maps are values of their
     own). Rows of null value or time are skipped; rows with the same source and time are one reading.
-    Sources of over ``part_rows`` rows are cut into parts by time that overlap by about ``halo_rows``
-    rows at either end; each part flags its own rows only. An empty table gives no rows.
+    Sources of over ``part_rows`` rows are cut into parts of like numbers of readings that overlap by
+    ``halo_rows`` readings (at least 20) at either end; each part flags its own rows only, by the usual
+    change of the whole source and by whether the whole source changes at most readings. An empty table
+    gives no rows.
     """
     key = F.concat_ws("\u0001", F.coalesce("metric_name", F.lit("\u0002")), label_key(F.col("name_value_labels")))
     known = limits.select(
@@ -317,18 +394,18 @@ def implausible_readings(
     if n_many:
         small = n_many <= 10_000
         hint = F.broadcast if small else (lambda x: x)
-        usual = _usual_change(rows, hint(many))
-        plan = many.join(usual, ["h1", "h2"], "left")
-        split = rows.join(hint(plan), ["h1", "h2"], "left")
-        part = F.floor((F.col("t") - F.col("t0")) / F.col("width")).cast("bigint")
-        margin = F.greatest(F.lit(1), F.floor(F.col("width") * halo_rows / part_rows))
-        parts = F.array_distinct(
-            F.array(*[F.floor((F.col("t") + F.lit(d) * margin - F.col("t0")) / F.col("width")).cast("bigint") for d in (-1, 0, 1)])
-        )
-        split = split.withColumn("home", F.coalesce(part, F.lit(0).cast("bigint")))
-        split = split.withColumn("part", F.explode(F.coalesce(parts, F.array(F.lit(0).cast("bigint")))))
-        rows = split.withColumn("own", F.col("part") == F.col("home"))
+        numbered = _number_readings(rows, hint(many))
+        split = _cut_sources(numbered, max(halo_rows, 2 * STUCK))
+        figures = _usual_changes(numbered).join(_lively_sources(split), ["h1", "h2"], "full")
+        columns = ["h1", "h2", "part", "t", "entry_id", "v", "counter", "low", "high", "own"]
+        split = split.select(columns).join(hint(figures), ["h1", "h2"], "left")
+        short = rows.join(hint(many), ["h1", "h2"], "left_anti").withColumns({"part": F.lit(0).cast("bigint"), "own": F.lit(True)}).select(columns)
+        rows = short.unionByName(split, allowMissingColumns=True)
     else:
-        rows = rows.withColumns({"part": F.lit(0).cast("bigint"), "own": F.lit(True), "usual": F.lit(float("nan"))})
-    rows = rows.select("h1", "h2", "part", "t", "entry_id", "v", "counter", "low", "high", "own", F.coalesce("usual", F.lit(float("nan"))).alias("usual"))
+        rows = rows.withColumns({"part": F.lit(0).cast("bigint"), "own": F.lit(True), **{c: F.lit(None) for c in ("usual", "moving", "pace", "lively")}})
+    rows = rows.select(
+        "h1", "h2", "part", "t", "entry_id", "v", "counter", "low", "high", "own",
+        *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in ("usual", "moving", "pace")],
+        F.coalesce(F.col("lively").cast("int"), F.lit(-1)).alias("lively"),
+    )
     return map_sorted_groups(rows, ["h1", "h2", "part"], ["t", "entry_id"], lambda table, starts: _flag(table, starts, threshold), FLAGS)

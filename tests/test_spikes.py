@@ -92,6 +92,31 @@ def test_long_sources_are_cut_without_change(spark):
     assert {k for (_, k), kind in whole.items() if kind == "spike"} == {100, 333, 334, 700}
 
 
+def test_stuck_values_are_judged_by_the_whole_source(spark):
+    stuck = _walk(11, 1500)
+    stuck[400:800] = [stuck[400]] * 400  # fills a part with its halo
+    stuck[1003] = float("nan")
+    rare = [float(i // 8 % 9) for i in range(1500)]
+    rare[700:940] = _walk(12, 240)  # a lively part of a source that rarely changes
+    rare[800:812] = [rare[800]] * 12
+    series = [("temp", {"a": "1"}, stuck), ("temp", {"a": "2"}, rare)]
+    whole = _found(spark, series)
+    assert {k for (s, k), kind in whole.items() if kind == "stuck" and "1" in s} == set(range(400, 800))
+    assert not any("2" in s and kind == "stuck" for (s, _), kind in whole.items())
+    assert _found(spark, series, part_rows=150, halo_rows=30) == whole
+
+
+def test_halo_holds_readings_in_sparse_stretches(spark):
+    v = _walk(13, 612)
+    v[604] += 60
+    days = [max(0, i - 599) * 30 for i in range(612)]
+    rows = [(i, "temp", {}, T0 + dt.timedelta(days=days[i], seconds=i), float(x), 1, True) for i, x in enumerate(v)]
+    df, limits = spark.createDataFrame(rows, WAL), spark.createDataFrame(CATALOG, LIMITS)
+    for n in (100_000, 100):
+        got = implausible_readings(df, limits, part_rows=n, halo_rows=20).collect()
+        assert [(r["entry_id"], r["kind"]) for r in got] == [(604, "spike")]
+
+
 def test_candidates_hold_all_that_an_exhaustive_check_finds():
     rng = np.random.default_rng(9)
     for trial in range(40):
