@@ -37,7 +37,9 @@ def kalman(
 
     ``times`` (in steps) and ``values`` are matrices of time by source, filled up to ``lengths``.
     ``scale`` is the usual change between readings. Counters have a slope, gauges none. The score is
-    0 where the reading was used and the standardised innovation where it was withheld.
+    the standardised innovation where the reading was withheld, or is a candidate for the exact check
+    all the same: its innovation is over ``threshold`` times ``scale``, which the variance of a long
+    gap would hide, or a counter's course is too uncertain after a gap to tell. Else it is 0.
     """
     steps, n = values.shape
     r = np.maximum(scale, 1e-300) ** 2
@@ -80,7 +82,8 @@ def kalman(
         p11 = np.where(moved, r, np.where(use, (1 - g1) * a11, a11))
         p12 = np.where(moved, 0.0, np.where(use, (1 - g1) * a12, a12))
         p22 = np.where(moved & counter, r, np.where(use, a22 - g2 * a12, a22))
-        scores[t] = np.where(bad, z, 0.0)
+        near = live & ((np.abs(e) > threshold * scale) | (counter & (a11 > 2 * r)))
+        scores[t] = np.where(bad | near, np.maximum(z, 1e-9), 0.0)
         withheld = np.where(moved, 0, withheld)
         # a quick filter of the level alone, whose innovations die out when nothing moves
         d = values[t] - fast

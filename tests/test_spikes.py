@@ -117,6 +117,23 @@ def test_halo_holds_readings_in_sparse_stretches(spark):
         assert [(r["entry_id"], r["kind"]) for r in got] == [(604, "spike")]
 
 
+def test_spikes_after_gaps():
+    rng = np.random.default_rng(14)
+    for gap in (2, 5, 9, 20, 50, 300):
+        for rising in (False, True):
+            n = 120
+            t = np.arange(n) * 1.0
+            t[60:] += gap
+            v = 100 * t + rng.normal(0, 20, n) if rising else rng.normal(50, 1, n)
+            usual = float(np.median(np.abs(np.diff(v))))
+            v[60] += 12 * usual + (50 * gap if rising else 0)
+            scores, still = kalman(t[:, None], v[:, None], np.array([n]), np.array([usual]), np.array([rising]))
+            fast, _ = check_source(t, v, scores[:, 0], still[:, 0], rising, usual)
+            full, _ = check_source(t, v, np.ones(n), np.ones(n, bool), rising, usual)
+            assert full[60], (gap, rising)
+            assert list(np.flatnonzero(fast)) == list(np.flatnonzero(full)), (gap, rising)
+
+
 def test_candidates_hold_all_that_an_exhaustive_check_finds():
     rng = np.random.default_rng(9)
     for trial in range(40):
