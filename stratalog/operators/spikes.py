@@ -255,6 +255,9 @@ def _flag_sources(table: pa.Table, starts: np.ndarray, threshold: float) -> pa.T
             pace = np.where(np.isfinite(pace) & (pace > 0), pace, 1.0)
             rising = counter[head].astype(bool)
             scores, still = kalman((tm - tm[0]) / pace, vm, size, scale, rising, threshold)
+            # where the usual change is 0 the scale may be the spike's own, so every change is a candidate
+            rare = inside & (usual == 0) & (change > 0)
+            scores[1:] = np.where(rare, np.maximum(scores[1:], 1e-9), scores[1:])
             hit = np.flatnonzero(((scores > 0).any(axis=0)) | still.any(axis=0))
             for c in hit:
                 k = int(size[c])

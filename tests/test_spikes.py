@@ -117,6 +117,18 @@ def test_halo_holds_readings_in_sparse_stretches(spark):
         assert [(r["entry_id"], r["kind"]) for r in got] == [(604, "spike")]
 
 
+def test_spikes_of_sources_that_rarely_change(spark):
+    constant = [7.0] * 100
+    constant[40], constant[70:73] = 60.0, [50.0, 51.0, 52.0]
+    rare = [float(i // 20) for i in range(100)]
+    rare[50] = 30.0
+    still = [100.0] * 100
+    still[30:32] = [900.0, 900.0]
+    got = _found(spark, [("temp", {"r": "1"}, constant), ("temp", {"r": "2"}, rare), ("total", {"r": "3"}, still)])
+    assert set(got.values()) == {"spike"}
+    assert {(s[-4], k) for s, k in got} == {("1", 40), ("1", 70), ("1", 71), ("1", 72), ("2", 50), ("3", 30), ("3", 31)}
+
+
 def test_spikes_after_gaps():
     rng = np.random.default_rng(14)
     for gap in (2, 5, 9, 20, 50, 300):
