@@ -1,11 +1,11 @@
 """Log lines of mixed layouts into entries with timestamp, level, component and message.
 
-Every line is cut into typed tokens. Distributed counts of token bigrams and trigrams (a word
-with the types of its neighbours) tell the constant words of layouts from variable ones: a word
-is constant where it fills nearly all occurrences of its context. What remains is the line's
-template, a sequence of constants and typed slots, and roles go to slots by type: a time at the
+Every line is cut into typed tokens, and a hand-written grammar gives them roles: a time at the
 head is the entry's stamp, a level word its level, a variable name between delimiters its
-component. A line whose template has neither a stamp nor a level at its head starts no entry.
+component. A line with neither a stamp nor a level at its head starts no entry, and neither does
+one of a layout that the grammar does not know. Distributed counts of token bigrams and trigrams (a
+word with the types of its neighbours) tell constant words after an opening bracket from components:
+a word is constant where it fills nearly all occurrences of its context.
 """
 
 from __future__ import annotations
@@ -156,7 +156,7 @@ class Parsed:
 
 @dataclass
 class Layouts:
-    """Constant words by context, and the roles of the templates met so far."""
+    """Constant words by context, and the grammar of layouts."""
 
     constants: set[tuple[str, str, str]] = field(default_factory=set)
 
