@@ -131,7 +131,7 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 300, rate: flo
             break
         before = volume
         room = counts.copy()
-        for config, x in sorted(_fractional(lengths, counts.astype(float), capacity, rounds, rate, power).items(), key=lambda c: -c[1]):
+        for config, x in sorted(_fractional(lengths, counts.astype(float), capacity, min(rounds, int(volume // capacity)), rate, power).items(), key=lambda c: -c[1]):
             at = [int(np.searchsorted(lengths, length)) for length, _ in config]
             number = min(int(x + 1e-9), *(int(room[i]) // n for i, (_, n) in zip(at, config)))
             if number > 0:

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from stratalog.llm import pack as pack_module
 from stratalog.llm.pack import Slots, best_config, container_fill, pack, solve
 
 SCHEMA = "doc_id long, n_tokens long, piece string, container_id string"
@@ -49,6 +50,19 @@ def test_hard_lengths_get_the_least_number():
     assert sum(solve({50: 7}, 100).values()) == 4
 
 
+def test_small_inputs_are_solved_too(monkeypatch):
+    left = []
+    best_fit = pack_module._best_fit
+    monkeypatch.setattr(pack_module, "_best_fit", lambda x, n, c: left.append(int((x * n).sum())) or best_fit(x, n, c))
+    rng = np.random.default_rng(0)
+    histogram = Counter(int(x) for x in np.clip(rng.lognormal(4.2, 0.8, 1000), 1, 400))
+    volume = sum(x * n for x, n in histogram.items())
+    solution = solve(histogram, 400)
+    assert left[0] < 0.1 * volume
+    assert sum(solution.values()) <= volume / 400 * 1.01 + 1
+    assert sum((Counter({x: m * k for x, m in config}) for config, k in solution.items()), Counter()) == histogram
+
+
 def test_slots_number_every_item_once():
     solution = solve({7: 100, 5: 31, 12: 9}, 20)
     slots = Slots.of(solution)
