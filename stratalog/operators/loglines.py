@@ -1,11 +1,14 @@
 """Log lines of mixed layouts into entries with timestamp, level, component and message.
 
-Every line is cut into typed tokens, and a hand-written grammar gives them roles: a time at the
-head is the entry's stamp, a level word its level, a variable name between delimiters its
-component. A line with neither a stamp nor a level at its head starts no entry, and neither does
-one of a layout that the grammar does not know. Distributed counts of token bigrams and trigrams (a
-word with the types of its neighbours) tell constant words after an opening bracket from components:
-a word is constant where it fills nearly all occurrences of its context.
+Every line is cut into typed tokens (stamps, levels, numbers, marks, words and so on). Bigrams and
+trigrams of tokens are counted over all lines, distributed, and make two dictionaries: words that
+are constant in their context (they fill nearly all of its occurrences), and the trigrams of types
+that are frequent at all. With them a line becomes a template: constant words stay, variable ones are
+slots, and so are typed tokens. Roles are given to the slots of a template, once for all its lines, by
+their types: a stamp is the time of the entry, a level word its level, a variable name between
+delimiters its component; a template starts entries if it has a stamp or a level in its head, and if
+the trigrams of its head are all in the dictionary. Lines of other templates belong to the entry
+before them.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ TOKEN = re.compile(
             ("glog", rf"^[TDIWEFC]\d{{4}} {_CLOCK}(?:\.\d+)?"),
             ("iso", rf"(?<![\w/])\d{{4}}-\d{{2}}-\d{{2}}[T ]{_CLOCK}(?:[.,]\d{{1,9}})?(?:Z|[+-]\d{{2}}:?\d{{2}})?(?!\w)"),
             ("slash", rf"(?<![\w/])\d{{4}}/\d{{2}}/\d{{2}} {_CLOCK}(?:[.,]\d{{1,9}})?"),
+            ("dotted", rf"(?<![\w.])\d{{2}}\.\d{{2}}\.\d{{4}} {_CLOCK}(?:[.,]\d{{1,9}})?(?![\w])"),
+            ("compact", r"(?<![\w.])(?:19|20)\d{6}T\d{6}(?:[.,]\d{1,9})?(?:Z|[+-]\d{2}:?\d{2})?(?!\w)"),
             ("clf", rf"(?<!\w)\d{{2}}/{_MONTH}/\d{{4}}:{_CLOCK}(?: [+-]\d{{4}})?"),
             ("ctime", rf"(?<!\w)[A-Z][a-z]{{2}} {_MONTH} [ \d]\d {_CLOCK}(?:\.\d+)? \d{{4}}"),
             ("bsd", rf"(?<!\w){_MONTH} [ \d]\d {_CLOCK}(?:\.\d+)?"),
@@ -59,7 +64,7 @@ TOKEN = re.compile(
         )
     ),
 )
-STAMPS = ("iso", "slash", "clf", "ctime", "bsd", "glog", "epoch")
+STAMPS = ("iso", "slash", "dotted", "compact", "clf", "ctime", "bsd", "glog", "epoch")
 ONLY_STAMP = re.compile(rf"(?P<iso>\d{{4}}-\d{{2}}-\d{{2}}[T ]{_CLOCK}(?:[.,]\d{{1,9}})?(?:Z|[+-]\d{{2}}:?\d{{2}})?)|(?P<epoch>1\d{{9}}(?:\.\d{{1,9}}|\d{{3}}))")
 ONLY_LEVEL = re.compile(r"(" + "|".join(LEVELS) + r")\d*", re.IGNORECASE)
 #: what may stand between a component and what follows it
@@ -91,6 +96,8 @@ def _zone_ms(zone: str) -> int:
 
 _ISO = re.compile(r"(\d{4})-(\d\d)-(\d\d)[T ]([\d:]{8}(?:[.,]\d+)?)(Z|[+-]\d\d:?\d\d)?")
 
+_COMPACT = re.compile(r"T(\d{6}(?:[.,]\d+)?)(Z|[+-]\d\d:?\d\d)?")
+
 
 def stamp_ms(kind: str, text: str, year: int) -> int:
     """Milliseconds since 1970 of a stamp token; ``year`` serves layouts without one; -1 if it is no date."""
@@ -100,6 +107,11 @@ def stamp_ms(kind: str, text: str, year: int) -> int:
             return _day_ms(int(y), int(mo), int(d)) + _clock_ms(clock) - _zone_ms(zone or "")
         if kind == "slash":
             return _day_ms(int(text[:4]), int(text[5:7]), int(text[8:10])) + _clock_ms(text[11:])
+        if kind == "dotted":
+            return _day_ms(int(text[6:10]), int(text[3:5]), int(text[:2])) + _clock_ms(text[11:])
+        if kind == "compact":
+            clock, zone = _COMPACT.fullmatch(text[8:]).groups()
+            return _day_ms(int(text[:4]), int(text[4:6]), int(text[6:8])) + _clock_ms(f"{clock[:2]}:{clock[2:4]}:{clock[4:]}") - _zone_ms(zone or "")
         if kind == "clf":
             day = _day_ms(int(text[7:11]), MONTH_NO[text[3:6]], int(text[:2]))
             return day + _clock_ms(text[12:20]) - _zone_ms(text[21:])
@@ -117,28 +129,92 @@ def stamp_ms(kind: str, text: str, year: int) -> int:
         return -1
 
 
-def tokens(line: str) -> list[tuple[str, str, int, int]]:
-    """Typed tokens of a line: (type, text, start, end); a mark's type is the mark itself."""
-    return [
-        (m.group() if m.lastgroup == "mark" else m.lastgroup, m.group(), m.start(), m.end())
-        for m in TOKEN.finditer(line)
-    ]
+Token = tuple[str, str, int, int]  # type, text, start, end; a mark's type is the mark itself
+
+
+def tokens(line: str) -> list[Token]:
+    """Typed tokens of a line."""
+    return [(m.group() if m.lastgroup == "mark" else m.lastgroup, m.group(), m.start(), m.end()) for m in TOKEN.finditer(line)]
+
 
+def head_tokens(line: str) -> tuple[list[Token], bool]:
+    """Tokens up to the first free word and the one after it, and whether that was the whole line.
 
-def _kinds(parts: list[tuple[str, str, int, int]], line: str) -> list[str]:
+    A free word stands in no brackets, is no value of a key and has no delimiter behind it: no role can come later.
+    """
+    out: list[Token] = []
+    host = stamped = False
+    for m in TOKEN.finditer(line):
+        kind = m.group() if m.lastgroup == "mark" else m.lastgroup
+        out.append((kind, m.group(), m.start(), m.end()))
+        if len(out) < 2:
+            host = kind == "pri"
+            continue
+        was = out[-2]
+        stamped = stamped or was[0] in STAMPS
+        if was[0] in ("word", "numbered", "level"):
+            before = out[-3][0] if len(out) > 2 else "^"
+            close = was[3] == m.start()
+            if host and stamped:
+                host = False  # the machine's name
+            elif was[0] != "level" and before not in ("[", "(", "=") and not (close and kind == "=") and not (kind in DELIMITERS and (close or kind in ("-", "number"))):
+                return out, False
+    return out, True
+
+
+def _kind(token: Token) -> str:
+    return "stamp" if token[0] in STAMPS else token[0]
+
+
+def _kinds(parts: list[Token], line: str, whole: bool = True) -> list[str]:
     """Types of the tokens, with the start and end of the line and a mark for indentation."""
-    first = ">" if line[:1].isspace() else "^"
-    return [first, *("stamp" if p[0] in STAMPS else p[0] for p in parts), "$"]
+    return [">" if line[:1].isspace() else "^", *map(_kind, parts), *(["$"] if whole else [])]
 
 
-def ngrams(line: str) -> Iterator[tuple[str, str, str]]:
-    """Trigrams (type before, word, type after) and bigrams (type before, word, '') of a line's words."""
+def members(line: str) -> list[tuple[str, str, object]] | None:
+    """Name, type and value of the members of a line that is one JSON object; None for others."""
+    try:
+        found = json.loads(line)
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(found, dict):
+        return None
+    out = []
+    for name, value in found.items():
+        text = value if isinstance(value, str) else json.dumps(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else ""
+        if text and (m := ONLY_STAMP.fullmatch(text)):
+            out.append((name, m.lastgroup, text))
+        elif not isinstance(value, str) or not text:
+            out.append((name, "number" if text else "other", text))
+        else:
+            out.append((name, "level" if ONLY_LEVEL.fullmatch(text) else "name" if _NAME.fullmatch(text) else "text", text))
+    return out
+
+
+_NAME = re.compile(r"\w[\w.\-]*")
+
+
+def ngrams(line: str) -> Iterator[tuple[str, str, str, bool]]:
+    """Trigrams (type before, token, type after) of a line, and bigrams (type before, word, '') of its words; the mark tells words.
+
+    Tokens are words as written and types of all others. Members of JSON objects are a word, the name, and the type of the value.
+    """
+    if line[:1] == "{" and (found := members(line)) is not None:
+        before = "{"
+        for name, kind, _ in found:
+            kind = "stamp" if kind in STAMPS else kind
+            yield before, name, kind, True
+            yield "word", kind, "", False
+            before = kind
+        return
     parts = tokens(line)
     kinds = _kinds(parts, line)
     for i, p in enumerate(parts):
         if p[0] == "word":
-            yield kinds[i], p[1], kinds[i + 2]
-            yield kinds[i], p[1], ""
+            yield kinds[i], p[1], kinds[i + 2], True
+            yield kinds[i], p[1], "", True
+        else:
+            yield kinds[i], kinds[i + 1], kinds[i + 2], False
 
 
 @dataclass
@@ -152,16 +228,55 @@ class Parsed:
     message: str = ""
     request: str | None = None
     user_agent: str | None = None
+    template: str = ""
+
+
+@dataclass(frozen=True)
+class Roles:
+    """What the slots of a template are: numbers of tokens, or -1. ``last`` is the last token that a role needs."""
+
+    start: bool = False
+    stamp: int = -1
+    level: int = -1
+    component: int = -1
+    body: int = -1
+    last: int = -1
+
+
+#: between the symbols of a template; a symbol that follows a space begins with one
+GLUE = "\t"
+SLOT = "<*>"
+
+
+def shown(template: str) -> str:
+    """A template as one reads it."""
+    return template.replace(GLUE, "")
 
 
 @dataclass
 class Layouts:
-    """Constant words by context, and the grammar of layouts."""
+    """The dictionaries of n-grams, and the roles of the templates met so far."""
 
     constants: set[tuple[str, str, str]] = field(default_factory=set)
-
-    def constant(self, kinds: list[str], i: int, word: str) -> bool:
-        return (kinds[i], word, kinds[i + 2]) in self.constants or (kinds[i], word, "") in self.constants
+    frequent: set[tuple[str, str, str]] = field(default_factory=set)
+    roles: dict[str, Roles] = field(default_factory=dict)
+
+    def constant(self, before: str, word: str, after: str) -> bool:
+        return (before, word, after) in self.constants or (before, word, "") in self.constants
+
+    def template(self, parts: list[Token], kinds: list[str]) -> str:
+        """Constant words and marks as they are, slots for variable words and typed tokens."""
+        out, end = [kinds[0]], 0
+        for i, (kind, text, start, stop) in enumerate(parts):
+            if kind == "word":
+                symbol = text if i + 2 < len(kinds) and self.constant(kinds[i], text, kinds[i + 2]) else SLOT
+            else:
+                symbol = f"<{kind}>" if len(kind) > 1 else kind
+            out.append(" " + symbol if start > end and i else symbol)
+            end = stop
+        if len(kinds) > len(parts) + 1:
+            out.append("$")
+        return GLUE.join(out)
 
     def parse(self, line: str, year: int) -> Parsed:
         """Roles for one line. Empty and blank lines, and indented ones, start no entry."""
@@ -169,110 +284,162 @@ class Layouts:
             return Parsed()
         if line[0] == "{":
             return self._record(line, year)
-        parts = tokens(line)
+        parts, whole = head_tokens(line)
         if not parts:
             return Parsed()
-        kinds = _kinds(parts, line)
+        if parts[0][0] == "ip":
+            parts, whole = tokens(line), True
+        kinds = _kinds(parts, line, whole)
+        template = self.template(parts, kinds)
+        roles = self.roles_of(template)
+        if not roles.start:
+            return Parsed()
+        out = Parsed(True, template=template)
+        if roles.stamp >= 0:
+            kind, text = parts[roles.stamp][:2]
+            out.ts_ms = stamp_ms(kind, text, year)
+            if out.ts_ms < 0:
+                return Parsed()  # no date
+            if kind == "glog":
+                out.level = LETTERS[text[0]]
+        if roles.level >= 0:
+            kind, text = parts[roles.level][:2]
+            out.level = SEVERITIES[int(text[1:-1]) % 8] if kind == "pri" else level_of(text)
+        if roles.component >= 0:
+            out.component = parts[roles.component][1]
         if kinds[1] == "ip":
-            return self._access(line, parts, year)
-        return self._plain(line, parts, kinds, year)
+            strings = [p[1][1:-1] for p in parts[roles.stamp :] if p[0] == "string"]
+            out.message = out.request = strings[0]
+            out.user_agent = strings[-1] if len(strings) > 1 else None
+        elif roles.body >= 0:
+            kind, text, start, _ = parts[roles.body]
+            out.message = text[1:-1].replace('\\"', '"') if kind == "string" else line[start:]
+        return out
+
+    def roles_of(self, template: str) -> Roles:
+        """The roles of a template's slots, worked out once; none where a trigram of its head is not in the dictionary."""
+        found = self.roles.get(template)
+        if found is None:
+            symbols = template.split(GLUE)
+            kinds = [_symbol_kind(x) for x in symbols]
+            found = _access_roles(kinds) if kinds[1] == "ip" else _plain_roles([x.lstrip(" ") for x in symbols], kinds, [x.startswith(" ") for x in symbols])
+            if found.start and not self.known(kinds, found.last + 1):
+                found = Roles()
+            if len(self.roles) > 100_000:  # a worker keeps no more
+                self.roles.clear()
+            self.roles[template] = found
+        return found
+
+    def known(self, kinds: list[str], upto: int) -> bool:
+        return all((kinds[i - 1], kinds[i], kinds[i + 1]) in self.frequent for i in range(1, upto + 1) if i + 1 < len(kinds))
 
     def _record(self, line: str, year: int) -> Parsed:
-        """One JSON object: roles of its members by the type of their values."""
-        try:
-            found = json.loads(line)
-        except ValueError:
-            return Parsed()
-        if not isinstance(found, dict):
+        """One JSON object: the names of its members are the words of its template, and roles go by the type of their values."""
+        found = members(line)
+        if not found:
             return Parsed()
-        out, names, texts = Parsed(), [], []
-        for value in found.values():
-            text = value if isinstance(value, str) else json.dumps(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else ""
-            if not text:
-                continue
-            if out.ts_ms < 0 and (m := ONLY_STAMP.fullmatch(text)):
-                out.ts_ms = stamp_ms(m.lastgroup, text, year)
-            elif not isinstance(value, str):
-                continue
-            elif not out.level and ONLY_LEVEL.fullmatch(text):
+        kinds = ["{"]
+        for _, kind, _ in found:
+            kinds += ["word", "stamp" if kind in STAMPS else kind]
+        symbols = ["{"]
+        for i, (name, kind, _) in enumerate(found):
+            symbols += [name if self.constant(kinds[2 * i], name, kinds[2 * i + 2]) else SLOT, f"<{kind}>"]
+        out, names, texts = Parsed(template=GLUE.join(symbols)), [], []
+        for _, kind, text in found:
+            if kind in STAMPS and out.ts_ms < 0:
+                out.ts_ms = stamp_ms(kind, text, year)
+            elif kind == "level" and not out.level:
                 out.level = level_of(text)
-            elif re.fullmatch(r"\w[\w.\-]*", text):
+            elif kind in ("name", "level"):
                 names.append(text)
-            else:
+            elif kind == "text":
                 texts.append(text)
-        out.start = out.ts_ms >= 0 or (bool(out.level) and bool(texts or names))
-        if out.start:
-            out.component = names[0] if names else ""
-            out.message = texts[0] if texts else names[1] if len(names) > 1 else ""
+        known = all((kinds[i - 1], kinds[i], kinds[i + 1] if i % 2 else "") in self.frequent for i in range(1, len(kinds)))
+        out.start = known and (out.ts_ms >= 0 or (bool(out.level) and bool(texts or names)))
+        if not out.start:
+            return Parsed()
+        out.component = names[0] if names else ""
+        out.message = texts[0] if texts else names[1] if len(names) > 1 else ""
         return out
 
-    def _access(self, line: str, parts: list, year: int) -> Parsed:
-        """A line of an access log: address, two names, stamp in brackets, then quoted pieces up to the end."""
-        at = next((i for i, p in enumerate(parts) if p[0] == "clf"), None)
-        if at is None or at > 8 or parts[at - 1][0] != "[":
-            return Parsed()
-        strings = [p[1][1:-1] for p in parts[at:] if p[0] == "string"]
-        if not strings or parts[-1][0] != "string":
-            return Parsed()
-        agent = strings[-1] if len(strings) > 1 else None
-        return Parsed(True, stamp_ms("clf", parts[at][1], year), "", "", strings[0], strings[0], agent)
-
-    def _plain(self, line: str, parts: list, kinds: list[str], year: int) -> Parsed:
-        """Lines of marks and words: the head ends where free text starts."""
-        out, n, named, body = Parsed(), len(parts), False, None
-        host = kinds[1] == "pri"
-        if host:
-            out.level = SEVERITIES[int(parts[0][1][1:-1]) % 8]
-        for i, (kind, text, start, end) in enumerate(parts):
-            after = kinds[i + 2]
-            close = i + 1 < n and parts[i + 1][2] == end
-            if kind in STAMPS:
-                if out.ts_ms < 0:
-                    out.ts_ms = stamp_ms(kind, text, year)
-                    out.start = out.ts_ms >= 0
-                    if kind == "glog":
-                        out.level = LETTERS[text[0]]
-                continue
-            if kind == "level" and not out.level and (out.start or i == 0 or kinds[i] in ("[", "(", "=")):
-                if i == 0 and not (close and after in (":", "]")):
-                    break
-                out.level = level_of(text)
-                out.start = out.start or (i == 0 and after == ":") or (i == 1 and kinds[i] == "[" and after == "]")
-                continue
-            if kind == "string" and kinds[i] == "=":
-                if body is None:
-                    body = text[1:-1].replace('\\"', '"')
-                continue
-            if kind not in ("word", "numbered", "level"):
-                continue
-            if host and out.ts_ms >= 0:
-                host = False  # the machine's name follows the stamp
-                continue
-            if after == "=" and close:
-                if kinds[i] in ("^", "stamp", "level", "word", "numbered", "string") and body is None:
-                    continue  # a key of key=value
-                break
-            if kind == "numbered":
-                if kinds[i] in ("[", "("):
-                    continue
-                body = body if body is not None else line[start:]
+
+def _symbol_kind(symbol: str) -> str:
+    symbol = symbol.lstrip(" ")
+    if symbol == SLOT:
+        return "word"
+    if len(symbol) > 2 and symbol[0] == "<" and symbol[-1] == ">":
+        return "stamp" if symbol[1:-1] in STAMPS else symbol[1:-1]
+    return "word" if symbol[0].isalnum() or symbol[0] == "_" else symbol
+
+
+def _access_roles(kinds: list[str]) -> Roles:
+    """A line of an access log: address, two names, stamp in brackets, then quoted pieces up to the end."""
+    at = next((i for i, k in enumerate(kinds) if k == "stamp"), -1)
+    if at < 0 or at > 9 or kinds[at - 1] != "[" or kinds[-2] != "string":
+        return Roles()
+    return Roles(True, at - 1, last=at - 1)
+
+
+def _plain_roles(symbols: list[str], kinds: list[str], spaced: list[bool]) -> Roles:
+    """Roles by the types of slots and the marks around them; the head ends where free text starts."""
+    stamp, level, component, body, start = -1, -1, -1, -1, False
+    n = len(kinds)
+    host = kinds[1] == "pri"
+    glog, last, spare = False, 0, -1
+    if host:
+        level = 0
+    for i in range(1, n - (kinds[-1] == "$")):
+        kind, before = kinds[i], kinds[i - 1]
+        after = kinds[i + 1] if i + 1 < n else ""
+        close = i + 1 < n and after != "$" and not spaced[i + 1]
+        if kind == "stamp":
+            if stamp < 0:
+                stamp, start, last = i - 1, True, i - 1
+                glog = symbols[i] == "<glog>"
+            continue
+        if kind == "level" and level < 0 and not glog and (start or i == 1 or before in ("[", "(", "=")):
+            if i == 1 and not (close and after in (":", "]")):
                 break
-            if kinds[i] == "=" and not named:
-                out.component, named = text, True
-                continue
-            if not out.start and not out.level:
-                return Parsed()  # free text before any stamp or level
-            if self.constant(kinds, i, text) and kinds[i] in ("[", "("):
-                continue
-            if not named and after in DELIMITERS and (close or after in ("-", "number")):
-                out.component, named = text, True
+            level, last = i - 1, i - 1
+            start = start or (i == 1 and after == ":") or (i == 2 and before == "[" and after == "]")
+            continue
+        if kind == "string" and before == "=":
+            body = i - 1 if body < 0 else body
+            continue
+        if kind not in ("word", "numbered", "level"):
+            continue
+        if host and stamp >= 0:
+            host = False  # the machine's name follows the stamp
+            continue
+        if after == "=" and close:
+            if before in ("^", "stamp", "level", "word", "numbered", "string") and body < 0:
+                continue  # a key of key=value
+            break
+        if kind == "numbered":
+            if before in ("[", "("):
                 continue
-            body = body if body is not None else line[start:]
+            body = i - 1 if body < 0 else body
             break
-        if not out.start:
-            return Parsed()
-        out.message = body or ""
-        return out
+        if before == "=" and component < 0:
+            component = last = i - 1
+            continue
+        if not start and level < 0:
+            break  # free text before any stamp or level
+        if before in ("[", "(") and kind == "word" and symbols[i] != SLOT:
+            if after in ("]", ")") and spare < 0:
+                spare = i - 1
+            continue  # a constant word: the name of what follows, or of the only component there is
+        if component < 0 and after in DELIMITERS and (close or after in ("-", "number")):
+            component = last = i - 1
+            continue
+        body = i - 1 if body < 0 else body
+        break
+    if component < 0:
+        component, last = spare, max(last, spare)
+    return Roles(start, stamp, level, component, body, last) if start else Roles()
+
+
+NGRAMS = "before string, token string, after string, word boolean, n bigint"
 
 
 def _count_ngrams(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -280,8 +447,8 @@ def _count_ngrams(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Ite
 
     def flush() -> pa.RecordBatch:
         keys = list(counts)
-        cols = [pa.array([k[j] for k in keys], pa.string()) for j in range(3)]
-        out = pa.RecordBatch.from_arrays([*cols, pa.array([counts[k] for k in keys], pa.int64())], ["before", "word", "after", "n"])
+        cols = [pa.array([k[j] for k in keys], t) for j, t in enumerate((pa.string(), pa.string(), pa.string(), pa.bool_()))]
+        out = pa.RecordBatch.from_arrays([*cols, pa.array([counts[k] for k in keys], pa.int64())], ["before", "token", "after", "word", "n"])
         counts.clear()
         return out
 
@@ -296,38 +463,46 @@ def _count_ngrams(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Ite
         yield flush()
 
 
-def layout_constants(texts: DataFrame, share: float = 0.75, least: int = 20) -> DataFrame:
-    """Words that are constant in their context, over all lines of the one column of ``texts``.
+def ngram_counts(texts: DataFrame) -> DataFrame:
+    """Bigrams and trigrams of all lines of the one column of ``texts`` (NGRAMS), counted per partition and merged."""
+    partial = texts.mapInArrow(_count_ngrams, NGRAMS)
+    return partial.groupBy("before", "token", "after", "word").agg(F.sum("n").alias("n"))
+
+
+def layout_constants(counts: DataFrame, share: float = 0.75, least: int = 20) -> DataFrame:
+    """Words that are constant in their context, of the n-grams in ``counts``.
 
-    Bigrams and trigrams are counted per partition and merged; a word is constant where it fills
-    at least ``share`` of a context met at least ``least`` times. Result: before, word, after, n;
-    one word a context at most, and contexts are pairs of token types and marks.
+    A word is constant where it fills at least ``share`` of a context met at least ``least`` times. Result:
+    before, token, after, n; one word a context at most, and contexts are pairs of token types and marks.
     """
-    partial = texts.mapInArrow(_count_ngrams, "before string, word string, after string, n bigint")
-    counts = partial.groupBy("before", "word", "after").agg(F.sum("n").alias("n"))
-    context = counts.groupBy("before", "after").agg(
-        F.sum("n").alias("total"), F.max(F.struct("n", "word")).alias("top")
-    )
+    context = counts.filter("word").groupBy("before", "after").agg(F.sum("n").alias("total"), F.max(F.struct("n", "token")).alias("top"))
     return context.filter((F.col("total") >= least) & (F.col("top.n") >= share * F.col("total"))).select(
-        "before", F.col("top.word").alias("word"), "after", F.col("top.n").alias("n")
+        "before", F.col("top.token").alias("token"), "after", F.col("top.n").alias("n")
     )
 
 
-def learn_layouts(texts: DataFrame, share: float = 0.75, least: int = 20) -> Layouts:
-    """The dictionary as the driver keeps it: one word a context, a few thousand rows whatever the input."""
-    rows = layout_constants(texts, share, least).collect()
-    return Layouts({(r["before"], r["word"], r["after"]) for r in rows})
+def frequent_trigrams(counts: DataFrame, share: float = 1e-5) -> DataFrame:
+    """Trigrams of types that make up at least ``share`` of all: before, token, after, n. At most 1 / share rows."""
+    types = counts.filter("not word or after <> ''").groupBy("before", F.when(F.col("word"), "word").otherwise(F.col("token")).alias("token"), "after").agg(F.sum("n").alias("n"))
+    return types.filter(F.col("n") >= F.lit(share) * types.agg(F.sum("n").alias("every")).scalar())
+
+
+def learn_layouts(texts: DataFrame, share: float = 0.75, least: int = 20, support: float = 1e-5) -> Layouts:
+    """The dictionaries as the driver keeps them: one word a context and at most 1 / ``support`` trigrams, whatever the input."""
+    counts = cut(ngram_counts(texts))
+    triple = lambda df: {(r["before"], r["token"], r["after"]) for r in df.collect()}
+    return Layouts(triple(layout_constants(counts, share, least)), triple(frequent_trigrams(counts, support)))
 
 
-PARSED = "start boolean, ts_ms bigint, log_level string, component string, message string, request string, user_agent string"
+PARSED = "start boolean, ts_ms bigint, log_level string, component string, message string, request string, user_agent string, template string"
 _PARSED_ARROW = [
     ("start", pa.bool_()), ("ts_ms", pa.int64()), ("log_level", pa.string()), ("component", pa.string()),
-    ("message", pa.string()), ("request", pa.string()), ("user_agent", pa.string()),
+    ("message", pa.string()), ("request", pa.string()), ("user_agent", pa.string()), ("template", pa.string()),
 ]
 
 
 def _columns(parsed: list[Parsed]) -> list[pa.Array]:
-    values = zip(*((p.start, p.ts_ms, p.level, p.component, p.message, p.request, p.user_agent) for p in parsed))
+    values = zip(*((p.start, p.ts_ms, p.level, p.component, p.message, p.request, p.user_agent, p.template) for p in parsed))
     return [pa.array(list(v), t) for v, (_, t) in zip(values, _PARSED_ARROW)] if parsed else [pa.array([], t) for _, t in _PARSED_ARROW]
 
 
@@ -358,6 +533,13 @@ def parse_lines(df: DataFrame, text: str, year: str, layouts: Layouts) -> DataFr
     return df.select(*keep, text, year).mapInArrow(run, schema)
 
 
+def line_templates(lines: DataFrame, text: str, layouts: Layouts) -> DataFrame:
+    """Templates of the lines that start entries, as one reads them, and the number of such lines: template, n."""
+    parsed = parse_lines(lines.select(text, F.lit(1970).alias("__year")), text, "__year", layouts)
+    whole = F.regexp_replace("template", GLUE, "").alias("template")
+    return parsed.filter("start").groupBy(whole).agg(F.count(F.lit(1)).alias("n"))
+
+
 def assemble_entries(lines: DataFrame, with_text: bool = False) -> DataFrame:
     """Entries of parsed lines: stream, first_id, last_id, ts_ms, log_level, component (and message, ...).
 
@@ -379,8 +561,7 @@ def assemble_entries(lines: DataFrame, with_text: bool = False) -> DataFrame:
         F.max(place).alias("__last"), *[F.min_by(c, place).alias(c) for c in head],
         *([F.transform(F.array_sort(F.collect_list(F.struct("line_no", "log_message_id", "text"))), lambda x: x["text"]).alias("__texts")] if with_text else []),
     )
-    if with_text:
-        parts = cut(parts)  # read three times, else lines are parsed as often
+    parts = cut(parts)  # read twice or more, else lines are parsed as often
     entries = parts.filter(F.col("first_id").isNotNull())
     files = parts.groupBy("stream", "file_no").agg(
         F.max_by("first_id", F.when(F.col("first_id").isNotNull(), F.col("__last"))).alias("__open"),
@@ -456,13 +637,13 @@ def log_entries(messages: DataFrame, access: DataFrame | None = None, with_text:
     if with_text:
         parsed = parsed.withColumnRenamed("__text", "text")
     columns = ["first_id", "last_id", "ts_ms", "log_level", "component"]
-    shown = columns + (["message", "request", "user_agent"] if with_text else [])
-    found = assemble_entries(parsed, with_text).select(F.lit("log_messages").alias("source_table"), *shown)
+    given = columns + (["message", "request", "user_agent"] if with_text else [])
+    found = assemble_entries(parsed, with_text).select(F.lit("log_messages").alias("source_table"), *given)
     if access is not None:
         inside = embedded_entries(access.withColumn("__year", F.year("date")), "entry_id", ["request", "user_agent"], "__year", layouts)
         inside = inside.select(
             F.lit("apache_log_entries").alias("source_table"), F.col("entry_id").alias("first_id"),
-            F.col("entry_id").alias("last_id"), *shown[2:],
+            F.col("entry_id").alias("last_id"), *given[2:],
         ).distinct()
         found = found.unionByName(inside)
     return found

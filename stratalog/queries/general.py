@@ -82,13 +82,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return loglines.log_entries(table(spark, d, "log_messages"), table(spark, d, "apache_log_entries"))
 
 
+def p7_templates(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "log_messages").filter("text is not null").select("text")
+    return loglines.line_templates(lines, "text", loglines.learn_layouts(lines))
+
+
 def p7_entries(spark: SparkSession, d: str) -> DataFrame:
     return loglines.log_entries(table(spark, d, "log_messages"), table(spark, d, "apache_log_entries"), with_text=True)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_key_stats, p3_found, p3_grid, p3_periods, p4_found, p4_flags, p4_impossible, p6_found, p6_changes, p6_consistent, p7_found, p7_entries)
+    for f in (p1_found, p1_key_stats, p3_found, p3_grid, p3_periods, p4_found, p4_flags, p4_impossible, p6_found, p6_changes, p6_consistent, p7_found, p7_templates, p7_entries)
 }
 
 _KEYS = """

@@ -37,8 +37,41 @@ CONTINUED = [
 
 
 @pytest.fixture(scope="module")
-def layouts():
-    return Layouts({("[", "pid", "number")})
+def layouts(spark):
+    lines = [x[0].replace("mail", f"mail{'abc'[i % 3]}") for i in range(30) for x in LINES] + CONTINUED
+    return loglines.learn_layouts(spark.createDataFrame([(x,) for x in lines], "text string"))
+
+
+def test_without_the_dictionaries_nothing_is_found(layouts):
+    for line, *_ in LINES:
+        assert not Layouts(layouts.constants).parse(line, 2024).start
+    swapped = "[Sat Mar 09 18:50:36.399041 2024] [pid 8348] [mail:emerg] token queued"
+    loose = Layouts(set(), _trigrams([swapped]))
+    assert loose.parse(swapped, 2024).component == "pid"
+    assert Layouts({("[", "pid", "number")}, loose.frequent).parse(swapped, 2024).component == "mail"
+    named = "2024-03-09 18:50:36 [main] INFO cart.pricing - token queued"
+    loose = Layouts(set(), _trigrams([named]))
+    assert loose.parse(named, 2024).component == "main"
+    assert Layouts({("[", "main", "]")}, loose.frequent).parse(named, 2024).component == "cart.pricing"
+
+
+def _trigrams(lines):
+    return {(a, "word" if word else t, b) for x in lines for a, t, b, word in loglines.ngrams(x)}
+
+
+def test_rare_heads_start_nothing(spark):
+    usual = "2024-03-09 18:50:36,811 [worker-9] INFO  ledger.Close - thumbnail rejected"
+    texts = spark.createDataFrame([(usual,)] * 999 + [("2024-01-09 11:02:17 / 2024-01-10 11:02:17: (moved)",)], "text string")
+    layouts = loglines.learn_layouts(texts, support=1e-3)
+    assert layouts.parse(usual, 2024).start and not layouts.parse("2024-01-09 11:02:17 / 2024-01-10 11:02:17: (moved)", 2024).start
+    rows = [(r["template"], r["n"]) for r in loglines.line_templates(texts, "text", layouts).collect()]
+    assert rows == [("^<iso> [<numbered>] <level> ledger.Close - thumbnail <*>", 999)]
+
+
+def test_more_stamps(spark):
+    lines = ["09.03.2024 18:50:36,250 WARN cart.session: digest rejected", "20240309T185036Z INFO cart.session: digest rejected", "20240309T205036+0200 INFO cart.session: digest rejected"]
+    layouts = loglines.learn_layouts(spark.createDataFrame([(x,) for x in lines], "text string"))
+    assert [layouts.parse(x, 1970).ts_ms for x in lines] == [ISO + 250, ISO, ISO]
 
 
 @pytest.mark.parametrize("line,ts,level,component", LINES)
@@ -96,7 +129,7 @@ def _parsed(spark, lines):
     from pyspark.sql import functions as F
 
     rows = _messages(spark, lines).filter("text is not null").select("log_message_id", "stream", "file_no", "line_no", F.lit(2024).alias("y"), "text", F.col("text").alias("__text"))
-    return loglines.parse_lines(rows, "text", "y", Layouts()).withColumnRenamed("__text", "text")
+    return loglines.parse_lines(rows, "text", "y", Layouts(set(), _trigrams(t for x in lines if x[3] for t in x[3].split("\n")))).withColumnRenamed("__text", "text")
 
 
 def test_foreign_lines_in_access_entries(spark):
@@ -112,7 +145,8 @@ def test_foreign_lines_in_access_entries(spark):
 
 def test_dictionary_finds_constant_words(spark):
     lines = [(f"[Sat Mar 09 18:50:36.399041 2024] [m{i % 9}x:info] [pid {i}] token {'abcdefghij'[i % 10]} queued",) for i in range(300)]
-    found = {(r["before"], r["word"], r["after"]) for r in loglines.layout_constants(spark.createDataFrame(lines, "text string")).collect()}
+    counts = loglines.ngram_counts(spark.createDataFrame(lines, "text string"))
+    found = {(r["before"], r["token"], r["after"]) for r in loglines.layout_constants(counts).collect()}
     assert ("[", "pid", "number") in found
     assert not any(w.startswith("m") for _, w, _ in found)
 
