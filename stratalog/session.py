@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -16,7 +18,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a local one where none is set (tests).
+    """The shared folder the cluster names; a local one only where none is set and the master is local (tests).
 
     Spark takes ``spark.checkpoint.dir`` for the context by itself when it is in the
     configuration at start; the setting is read again here for sessions that got it later.
@@ -24,6 +26,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "stratalog-checkpoints"))
     return context.getCheckpointDir()
 
@@ -37,6 +41,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table in the checkpoint folder: for wide rows that are read more than once, by column.
+
+    The tables of an application are deleted when its driver ends.
+    """
+    spark = df.sparkSession
+    home = f"{checkpoint_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        _homes.add(home)
+        atexit.register(_delete, spark, home)
+    path = f"{home}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_homes: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    except Exception:  # the session has ended before: nothing more can be done from here
+        pass
+
+
 _shipped: set[str] = set()
 
 
