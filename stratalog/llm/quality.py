@@ -4,7 +4,8 @@ Every document gets a vector of statistics over its own words (quotes of others
 Mean and covariance of the prose of each language are estimated robustly: from medians and spreads
 first, then from the documents within a distance of that, twice over; only sums and products by
 language come to the driver. The Mahalanobis distance of a document and the share that each statistic
-has in it are reported; documents far out are checked for what makes up most of their characters.
+has in it are reported. Documents that are far out are the candidates for lists, tables and junk; the
+exact check of what makes up most of their characters, line by line, is run on them alone.
 """
 
 from __future__ import annotations
@@ -13,17 +14,18 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.session import cut
+from stratalog.session import written
 
 STATISTICS = (
-    "log_words", "mean_word_length", "symbol_ratio", "line_end_punctuation", "common_word_share",
-    "digit_ratio", "unique_word_share", "list_share", "table_share", "junk_share",
+    "log_words", "mean_word_length", "symbol_ratio", "line_end_punctuation", "common_word_share", "digit_ratio",
+    "unique_word_share", "log_line_length", "letter_surprise", "marked_lines", "separators", "top_token_share",
 )
 KINDS = ("prose", "list", "table", "junk")
 
@@ -31,6 +33,7 @@ _ATTRIBUTION = re.compile(r"^\s*(?:.{1,60} wrote|On .{1,40} said|.{1,60} (?:schr
 _QUOTED = re.compile(r"^>(?:$|[\s>]|\w)")
 _TAG = re.compile(r"\[quote[^\]\n]*\]|\[/quote\]|<blockquote[^>\n]*>|</blockquote>", re.IGNORECASE)
 _MARKUP = re.compile(r"\[/?(?:b|i|u|s|size|color|url|img|code|center)(?:=[^\]\n]*)?\]|</?(?:b|i|u|p|br|em|strong|a|span|div|cite|code|pre)\b[^>\n]*>|\*\*|&(?:nbsp|amp|lt|gt|quot|#\d+);", re.IGNORECASE)
+_MARKUP_SIGNS = re.compile(r"[\[<&*]")
 _CELL_TAG = re.compile(r"\[/?(?:table|tr|td|th)\b[^\]]*\]|</?(?:table|tr|td|th|thead|tbody)\b", re.IGNORECASE)
 _ITEM_TAG = re.compile(r"\[/?list\b[^\]]*\]|\[\*\]|</?(?:ul|ol|li)\b[^>]*>", re.IGNORECASE)
 _RULE = re.compile(r"^[+|][-=:+| ]{2,}[+|]$")
@@ -43,7 +46,6 @@ _PERIODIC = re.compile(r"^(.{1,8}?)\1{4,}.{0,8}$", re.DOTALL)
 _MIXED_UP = re.compile(r"[Â-ô][\u0080-¿]|[Â-ô][ŒœŠšŸŽžƒˆ˜–-›€™]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _ENDS = tuple(".!?…。！？:;\"”»)'’")
-_ODD = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}|[aeiouy]{4}|^[^aeiouy]{3,}$|q(?!u)|[jqvxwkh]{2}|uu|ii|aa[^r]|jl|lj|gj|jg|dj[^a]|yj|jy|fj|jf|tj|jt|sj|js|wq|wg|pq|fd|dq|dg[^e]|lf[^a-z]")
 _KANA = re.compile(r"[぀-ヿ一-鿿]")
 # Greek and Cyrillic letters that look like Latin ones, in the order of the Latin letters beside them.
 _LOOKALIKES = str.maketrans("аεсеһіјӏмոорѕтυνхуαοιρ", "aecehijlmnopstuvxyaoip")
@@ -93,15 +95,24 @@ def own_words(text: str) -> str:
 
 def plain_words(text: str) -> list[str]:
     """Words in lower case, without marks on letters and with look-alike letters within Latin words replaced."""
+    known = _plain
     out = []
     for w in _WORD.findall(text):
-        w = w.lower()
-        if not w.isascii() and any("a" <= c <= "z" for c in w):
-            w = w.translate(_LOOKALIKES)
-        out.append(w)
+        p = known.get(w)
+        if p is None:
+            p = w.lower()
+            if not p.isascii() and any("a" <= c <= "z" for c in p):
+                p = p.translate(_LOOKALIKES)
+            if len(known) >= 200_000:  # a worker keeps no more
+                known.clear()
+            known[w] = p
+        out.append(p)
     return out
 
 
+_plain: dict[str, str] = {}
+
+
 def bare(word: str) -> str:
     """A word without marks on its letters."""
     if word.isascii():
@@ -154,17 +165,102 @@ def _columns(s: str, raw: str) -> tuple[str, int] | None:
     return None
 
 
-def _gibberish(s: str, common: frozenset[str]) -> bool:
-    """Whether a line in Latin letters has next to no common word and many words nobody could say."""
+#: lower-case letters of the Latin, Greek and Cyrillic alphabets, by ranges of code points
+ALPHABETS = ((0x61, 0x7A), (0x3B1, 0x3C9), (0x430, 0x45F))
+BLANK, ALPHA, DIGIT = 1, 2, 3
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point of the basic plane: the letter without case and marks, counted through ALPHABETS from 1, else 0; and the class of the sign."""
+    first, base = {}, 1
+    for a, b in ALPHABETS:
+        first |= {c: base + c - a for c in range(a, b + 1)}
+        base += b - a + 1
+    letter, kind = np.zeros(0x10000, np.int64), np.zeros(0x10000, np.int8)
+    for c in range(0xD800):
+        x = chr(c)
+        kind[c] = BLANK if x.isspace() else ALPHA if x.isalpha() else DIGIT if x.isdigit() else 0
+        if kind[c] == ALPHA:
+            letter[c] = first.get(ord(x.lower()[0])) or first.get(ord(unicodedata.normalize("NFD", x.lower())[0]), 0)
+    return letter, kind
+
+
+LETTER, CLASS = _tables()
+
+
+def code_points(text: str) -> np.ndarray:
+    """Code points of a text; those beyond the basic plane are 0xFFFF."""
+    return np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 0xFFFF)
+
+
+class Letters:
+    """How surprising letters are after one another, in bits: a model of pairs of letters, counted over a whole corpus."""
+
+    RANGES = ALPHABETS
+    SIZE = 1 + sum(b - a + 1 for a, b in ALPHABETS)
+
+    def __init__(self, counts: np.ndarray) -> None:
+        """``counts``: SIZE by SIZE; every pair is taken as met once more than it was in a row of its own."""
+        share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
+        self.bits = -np.log2(share)
+        self.bits[0, :] = self.bits[:, 0] = np.nan
+        #: half way from the bits of the corpus itself to those of letters drawn at random from one alphabet
+        self.odd = (float(np.nansum(self.bits * counts)) / max(1.0, float(counts.sum())) + self._random(counts)) / 2
+
+    def _random(self, counts: np.ndarray) -> float:
+        total, bits, base = 0.0, 0.0, 1
+        for a, b in self.RANGES:
+            own = slice(base, base + b - a + 1)
+            n = float(counts[own, own].sum())
+            total, bits = total + n, bits + n * float(self.bits[own, own].mean())
+            base += b - a + 1
+        return bits / total if total else np.log2(self.SIZE)
+
+    @classmethod
+    def codes(cls, text: str) -> np.ndarray:
+        return LETTER[code_points(text)]
+
+    @classmethod
+    def count(cls, text: str) -> np.ndarray:
+        """Pairs of neighbouring letters in a text, by first * SIZE + second; those with another sign are left out."""
+        at = cls.codes(text)
+        pairs = at[:-1] * cls.SIZE + at[1:]
+        return np.bincount(pairs[(at[:-1] > 0) & (at[1:] > 0)], minlength=cls.SIZE**2)
+
+    def surprise(self, text: str | np.ndarray) -> float:
+        """Mean bits of the pairs of letters of a text or its code points; 0 where it has fewer than three."""
+        at = self.codes(text) if isinstance(text, str) else LETTER[text]
+        bits = self.bits[at[:-1], at[1:]]
+        bits = bits[~np.isnan(bits)]
+        return float(bits.mean()) if len(bits) > 2 else 0.0
+
+
+def count_letters(df: DataFrame, text: str = "text") -> Letters:
+    """The model of pairs of letters over all texts: counted a partition at a time, at most SIZE squared rows to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(Letters.SIZE**2, np.int64)
+        for b in batches:
+            total += Letters.count("\n".join(x for x in b.column(0).to_pylist() if x))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["pair", "n"])
+
+    counts = np.zeros(Letters.SIZE**2)
+    for r in df.select(text).mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r["pair"]] = r["n"]
+    return Letters(counts.reshape(Letters.SIZE, Letters.SIZE))
+
+
+def _gibberish(s: str, common: frozenset[str], letters: Letters) -> bool:
+    """Whether a line in letters has next to no common word and letters that do not follow one another."""
     tokens = [t.strip(".,!?:()[]\"'*_").lower() for t in s.split() if "://" not in t and "www." not in t]
     words = [bare(t) for t in tokens if t and (t[0].isascii() or bare(t)[0].isascii()) and any(c.isalpha() for c in t)]
     if len(words) < 4 or sum(len(w) > 1 and w in common for w in words) >= 0.06 * len(words) + 1e-9:
         return False
-    odd = sum(";" in w or bool(_ODD.search(w)) for w in words)
-    return odd >= 0.2 * len(words)
+    return letters.surprise(" ".join(words)) >= letters.odd
 
 
-def line_kinds(text: str, common: frozenset[str]) -> list[tuple[str, str]]:
+def line_kinds(text: str, common: frozenset[str], letters: Letters) -> list[tuple[str, str]]:
     """The lines of a text, blank ones left out, with their kind."""
     raw = [x for x in text.split("\n") if x.strip()]
     lines = [_MARKUP.sub("", x).strip() for x in raw]
@@ -208,7 +304,7 @@ def line_kinds(text: str, common: frozenset[str]) -> list[tuple[str, str]]:
         while j < len(lines) and not kinds[j] and (j == i or len(lines[j]) < 40 > len(lines[i])):
             j += 1
         if j > i:
-            kinds[i:j] = ["junk" if _gibberish(" ".join(lines[i:j]), common) else "prose"] * (j - i)
+            kinds[i:j] = ["junk" if _gibberish(" ".join(lines[i:j]), common, letters) else "prose"] * (j - i)
         i = max(j, i + 1)
     for i in range(len(lines) - 1):
         if lines[i].endswith(":") and len(lines[i].split()) <= 4 and kinds[i] == "prose" and kinds[i + 1] in ("list", "table"):
@@ -223,36 +319,45 @@ def language(text: str, words: list[str], by_language: dict[str, frozenset[str]]
     if len(_KANA.findall(text)) >= 0.2 * max(1, len(text)):
         return "ja"
     best, most = "", 0
+    counts = Counter(words)
     for name, known in sorted(by_language.items()):
-        n = sum(w in known for w in words)
+        n = sum(counts[w] for w in counts.keys() & known)
         if n > most:
             best, most = name, n
     return best
 
 
-def describe(text: str | None, by_language: dict[str, frozenset[str]], every: frozenset[str]) -> tuple:
-    """Language, word count, statistics in the order of STATISTICS, and shares by kind of line of one post."""
-    own = own_words(text) if text else ""
+_SEPARATORS = re.compile(r"\t|\||;|,(?! )|(?<=\S) {2,}(?=\S)")
+_MARKED = re.compile(r"\s*(?:[^\w\s\"'“«(¿¡@]|\(?\w{1,3}[.):])")
+
+
+@dataclass
+class Words:
+    """What texts are held against: common words by language and of all languages, and the letters."""
+
+    by_language: dict[str, frozenset[str]]
+    every: frozenset[str]
+    letters: Letters
+
+
+def describe(own: str, known: Words) -> tuple[str, int, list[float]]:
+    """Language, word count and statistics in the order of STATISTICS of a post's own words."""
     words = plain_words(own)
-    lang = language(own, words, by_language)
-    chars = sum(not c.isspace() for c in own)
+    lang = language(own, words, known.by_language)
+    points = code_points(own)
+    blanks, letters, digits = np.bincount(CLASS[points], minlength=4)[1:].tolist()
+    chars = len(points) - blanks
     if not chars:
-        return lang, 0, [0.0] * len(STATISTICS), [0.0] * 4
-    lines = line_kinds(own, every)
-    sizes = Counter()
-    for line, kind in lines:
-        sizes[kind] += len(line.strip())
-    total = sum(sizes.values())
-    shares = [sizes[k] / total for k in KINDS]
-    letters = sum(c.isalpha() for c in own)
-    digits = sum(c.isdigit() for c in own)
-    ends = [_MARKUP.sub("", x).rstrip() for x, _ in lines]
-    known = by_language.get(lang, every)
+        return lang, 0, [0.0] * len(STATISTICS)
+    lines = [x for x in own.split("\n") if x.strip()]
+    ends = [x.rstrip() if x.rstrip().endswith(_ENDS) or not _MARKUP_SIGNS.search(x) else _MARKUP.sub("", x).rstrip() for x in lines]
+    common_words = known.by_language.get(lang, known.every)
     if lang == "ja":
-        kana = sum(own.count(w) * len(w) for w in known)
+        kana = sum(own.count(w) * len(w) for w in common_words)
         common = min(1.0, kana / chars)
     else:
-        common = sum(w in known or bare(w) in known for w in words) / len(words) if words else 0.0
+        common = sum(n for w, n in Counter(words).items() if w in common_words or (not w.isascii() and bare(w) in common_words)) / len(words) if words else 0.0
+    tokens = own.split()
     statistics = [
         float(np.log1p(len(words))),
         sum(map(len, words)) / len(words) if words else 0.0,
@@ -261,20 +366,26 @@ def describe(text: str | None, by_language: dict[str, frozenset[str]], every: fr
         common,
         digits / chars,
         len(set(words)) / len(words) if words else 0.0,
-        *shares[1:],
+        float(np.log1p(chars / len(lines))),
+        known.letters.surprise(points),
+        sum(len(x) for x in lines if _MARKED.match(x)) / sum(map(len, lines)),
+        len(_SEPARATORS.findall("\n".join(lines))) / chars,
+        Counter(tokens).most_common(1)[0][1] / len(tokens) if len(tokens) >= 8 else 0.0,
     ]
-    return lang, len(words), statistics, shares
-
+    return lang, len(words), statistics
 
-_DESCRIBED = "doc_id bigint, language string, word_count bigint, statistics array<double>, shares array<double>"
 
+def line_shares(own: str, known: Words) -> list[float]:
+    """Shares of the characters in lines of each of KINDS."""
+    sizes: Counter = Counter()
+    for line, kind in line_kinds(own, known.every, known.letters):
+        sizes[kind] += len(line.strip())
+    total = sum(sizes.values())
+    return [sizes[k] / total if total else 0.0 for k in KINDS]
 
-def document_statistics(df: DataFrame, common_words: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, language, word_count, statistics and shares of every row (see ``describe``).
 
-    Whole texts are read. Null, empty and blank texts have 0 words and zeros; repeated rows stay. The table
-    of common words is collected: it must have at most 100,000 rows.
-    """
+def collect_words(common_words: DataFrame, letters: Letters) -> Words:
+    """The table of common words, which must have at most 100,000 rows, with the model of letters."""
     rows = common_words.select("lang", F.lower("word").alias("word")).filter("lang is not null and word is not null").limit(100_001).collect()
     if len(rows) > 100_000:
         raise ValueError("more than 100,000 common words")
@@ -282,15 +393,26 @@ def document_statistics(df: DataFrame, common_words: DataFrame, text: str = "tex
     for r in rows:
         by_language.setdefault(r["lang"].lower(), set()).add(r["word"])
     frozen = {k: frozenset(v) for k, v in by_language.items()}
-    every = frozenset(w for k, v in frozen.items() if k != "ja" for w in v)
+    return Words(frozen, frozenset(w for k, v in frozen.items() if k != "ja" for w in v), letters)
+
+
+_DESCRIBED = "doc_id bigint, language string, word_count bigint, statistics array<double>"
+
+
+def document_statistics(df: DataFrame, known: Words, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, language, word_count and statistics of every row (see ``describe``), and its own words.
+
+    Whole texts are read. Null, empty and blank texts have 0 words and zeros; repeated rows stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [describe(t, frozen, every) for t in b.column(1).to_pylist()]
-            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "language", "word_count", "statistics", "shares"])
+            own = [own_words(t) if t else "" for t in b.column(1).to_pylist()]
+            found = [describe(x, known) for x in own]
+            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.float64())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(own, pa.string())], ["doc_id", "language", "word_count", "statistics", "own"])
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _DESCRIBED)
+    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _DESCRIBED + ", own string")
 
 
 def _moments(df: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
@@ -312,7 +434,7 @@ def _moments(df: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
 
 
 #: the least spread of a statistic, so that one that is constant in prose doesn't divide by nothing
-FLOOR = np.array([0.3, 0.2, 0.01, 0.05, 0.03, 0.01, 0.05, 0.05, 0.05, 0.05])
+FLOOR = np.array([0.3, 0.2, 0.01, 0.05, 0.03, 0.01, 0.05, 0.2, 0.1, 0.05, 0.005, 0.03])
 Model = dict[str, tuple[np.ndarray, np.ndarray]]
 
 
@@ -320,25 +442,27 @@ def _inverse(cov: np.ndarray) -> np.ndarray:
     return np.linalg.inv(cov + np.diag(FLOOR**2))
 
 
+def _parts(described: pa.RecordBatch, model: Model) -> np.ndarray:
+    """The parts of the statistics in the squared distance of every row."""
+    x = described.column(3).flatten().to_numpy().reshape(-1, len(STATISTICS))
+    parts = np.zeros_like(x)
+    names = np.array([n if n in model else "" for n in described.column(1).to_pylist()], object)
+    for name in set(names.tolist()):
+        at = names == name
+        mean, inverse = model[name]
+        d = x[at] - mean
+        parts[at] = d * (d @ inverse)
+    return parts
+
+
 def _distances(df: DataFrame, model: Model) -> DataFrame:
-    """Adds ``distance`` (squared) and ``contributions`` (its parts by statistic) to described documents."""
-    keep = ["doc_id", "language", "word_count", "statistics", "shares"]
+    """Adds ``distance`` (squared) to described documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(STATISTICS)
         for b in batches:
-            x = b.column(3).flatten().to_numpy().reshape(-1, k)
-            parts = np.zeros_like(x)
-            names = np.array([n if n in model else "" for n in b.column(1).to_pylist()], object)
-            for name in set(names.tolist()):
-                at = names == name
-                mean, inverse = model[name]
-                d = x[at] - mean
-                parts[at] = d * (d @ inverse)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * k, pa.int32()), pa.array(parts.ravel(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts.sum(axis=1), pa.float64()), lists], [*keep, "distance", "contributions"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_parts(b, model).sum(axis=1), pa.float64())], [*b.schema.names, "distance"])
 
-    return df.select(*keep).mapInArrow(run, _DESCRIBED + ", distance double, contributions array<double>")
+    return df.mapInArrow(run, _DESCRIBED + ", distance double")
 
 
 def fit_prose(described: DataFrame, steps: int = 2, within: float = 25.0, least: int = 50) -> Model:
@@ -370,23 +494,38 @@ def fit_prose(described: DataFrame, steps: int = 2, within: float = 25.0, least:
     return model
 
 
-def text_quality(df: DataFrame, common_words: DataFrame, far: float = 21.0) -> DataFrame:
+#: the 0.999 quantile of the chi-squared distribution with as many degrees of freedom as there are statistics
+FAR = 32.91
+
+
+def text_quality(df: DataFrame, common_words: DataFrame, far: float = FAR, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Statistics, distance and kind of every document.
 
     Columns: doc_id, language, word_count, mean_word_length, symbol_ratio, line_end_punctuation,
     common_word_share, distance (squared Mahalanobis distance from the prose of the language),
-    contributions (map of statistic to its part of the distance), kind. A document is list, table or junk
-    if its distance is over ``far`` and lines of that kind have most of its own characters; else prose, as
-    are blank, empty and null texts. Tables without rows give none.
+    contributions (map of statistic to its part of the distance), shares (of characters by kind of line, in
+    the order of KINDS), kind. A document whose distance is over ``far`` is checked line by line: it is list,
+    table or junk if lines of that kind have most of its own characters. All others are prose and have null
+    shares, blank, empty and null texts among them. Tables without rows give none.
     """
-    described = cut(document_statistics(df, common_words))
-    placed = _distances(described, fit_prose(described))
-    shares = F.col("shares")
-    most = F.when(shares[1] > 0.5, "list").when(shares[2] > 0.5, "table").when(shares[3] > 0.5, "junk").otherwise("prose")
-    kind = F.when((F.col("distance") > far) & (F.aggregate(shares, F.lit(0.0), lambda a, s: a + s) > 0), most).otherwise("prose")
-    names = F.array(*[F.lit(n) for n in STATISTICS])
+    known = collect_words(common_words, count_letters(df, text))
+    described = written(document_statistics(df, known, text, doc_id))  # own words too: they cost more to find again than to keep
+    model = fit_prose(described.drop("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(4).to_pylist()
+            parts = _parts(b, model)
+            distance = parts.sum(axis=1)
+            shares = [line_shares(x, known) if d > far and n else None for x, d, n in zip(own, distance, map(str.strip, own))]
+            kinds = [next((k for k, x in zip(KINDS, s) if x > 0.5 and k != "prose"), "prose") if s else "prose" for s in shares]
+            offsets = pa.array(np.arange(len(own) + 1) * len(STATISTICS), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:4], pa.array(distance, pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(parts.ravel(), pa.float64())), pa.array(shares, pa.list_(pa.float64())), pa.array(kinds, pa.string())],
+                [*b.schema.names[:4], "distance", "parts", "shares", "kind"],
+            )
+
+    placed = described.mapInArrow(run, _DESCRIBED + ", distance double, parts array<double>, shares array<double>, kind string")
     at = {n: F.col("statistics")[STATISTICS.index(n)].alias(n) for n in ("mean_word_length", "symbol_ratio", "line_end_punctuation", "common_word_share")}
-    return placed.select(
-        "doc_id", "language", "word_count", *at.values(), "distance",
-        F.map_from_arrays(names, "contributions").alias("contributions"), "shares", kind.alias("kind"),
-    )
+    names = F.array(*[F.lit(n) for n in STATISTICS])
+    return placed.select("doc_id", "language", "word_count", *at.values(), "distance", F.map_from_arrays(names, "parts").alias("contributions"), "shares", "kind")

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from stratalog.llm.quality import STATISTICS, describe, own_words, text_quality
+from stratalog.llm.quality import FAR, STATISTICS, Letters, Words, line_shares, own_words, text_quality
 
 COMMON = {"en": "the a and of is was it my our not to in on for have i you with that this but".split(), "de": "der die das und ist nicht ich war".split(), "ja": ["が", "は", "です", "ます"]}
 FROZEN = {k: frozenset(v) for k, v in COMMON.items()}
@@ -32,8 +32,11 @@ PLAIN = [
 ]
 
 
+KNOWN = Words(FROZEN, EVERY, Letters(Letters.count("\n".join([PROSE, *filter(None, PLAIN)])).reshape(Letters.SIZE, -1).astype(float)))
+
+
 def _kind(text):
-    shares = describe(text, FROZEN, EVERY)[3]
+    shares = line_shares(own_words(text or ""), KNOWN)
     return next((k for k, s in zip(("list", "table", "junk"), shares[1:]) if s > 0.5), "prose")
 
 
@@ -80,6 +83,11 @@ def test_table_of_all_kinds(spark):
     words = spark.createDataFrame([(k, w) for k, v in COMMON.items() for w in v] + [(None, "x"), ("en", None)], "lang string, word string")
     out = text_quality(df, words).collect()
     assert len(out) == len(rows)
+    # the distance takes the candidates: only they are checked, and none is left where nothing is far enough
+    assert all(r["shares"] is None for r in out if r["distance"] <= FAR)
+    assert sum(r["distance"] <= FAR for r in out) > 0.9 * len(variants)
+    farther = {r["doc_id"]: r["kind"] for r in text_quality(df, words, far=sorted(r["distance"] for r in out)[-4]).collect()}
+    assert 1 <= sum(k != "prose" for k in farther.values()) <= 3
     kinds = {r["doc_id"]: r["kind"] for r in out}
     n = len(variants)
     assert all(kinds[i] == "prose" for i in range(n))
