@@ -3,7 +3,8 @@
 Values are sorted and clustered under a size function of their quantile that is small at the tails
 (the arcsine scale); a digest is the list of means and weights of the clusters. Digests are merged by
 clustering their centroids again, so those of partitions or days can be combined. A second pass over
-the rows counts how many lie below and at each estimate, which gives its true error of rank.
+the rows counts how many lie below and at each estimate of every group, which gives its true error of
+rank. The percentile of a share q of n values is the one of rank ceil(q * n).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.operators.sortedgroups import map_sorted_groups
@@ -22,13 +23,11 @@ GROUP = ["metric_name", "label", "label_value"]
 DIGEST = "metric_name string, label string, label_value string, n bigint, low double, high double, means array<double>, weights array<double>"
 
 
-def cluster(
-    g: np.ndarray, mean: np.ndarray, weight: np.ndarray, delta: float, whole: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cluster(g: np.ndarray, mean: np.ndarray, weight: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Centroids of many groups at once: (group, mean, weight), sorted by group and mean.
 
     Neighbours are joined while they lie in one cell of ``delta`` cells of the arcsine scale of the
-    quantile. Groups of up to ``whole`` centroids are left as they are, without loss.
+    quantile. A group of fewer than 2 / pi * ``delta`` values has each in a cell of its own, without loss.
     """
     order = np.lexsort((mean, g))
     g, mean, weight = g[order], mean[order], weight[order]
@@ -41,7 +40,6 @@ def cluster(
     before = np.repeat(upto[first] - weight[first], size)
     q = np.clip((upto - before - weight / 2) / np.repeat(total, size), 0.0, 1.0)
     cell = np.floor(delta * (np.arcsin(2 * q - 1) / np.pi + 0.5)).astype(np.int64)
-    cell = np.where(np.repeat(size <= whole, size), np.arange(len(g)), cell)
     start = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (cell[1:] != cell[:-1])]))
     w = np.add.reduceat(weight, start)
     # means relative to the cluster's first value, so that equal values keep their exact value
@@ -54,12 +52,11 @@ def cluster(
 
 
 def quantiles(mean: np.ndarray, weight: np.ndarray, low: float, high: float, qs: tuple[float, ...]) -> np.ndarray:
-    """Estimates of a digest: linear between the middles of its clusters; where all weights are 1, exact (linear between ranks)."""
+    """Estimates of a digest: linear between the middles of its clusters, at the middle of the wanted rank. A value in a cluster of its own is met exactly."""
     n = weight.sum()
-    if len(mean) == n:
-        return np.interp(np.asarray(qs) * (n - 1), np.arange(len(mean)), mean)
     middle = np.cumsum(weight) - weight / 2
-    return np.interp(np.asarray(qs) * n, np.concatenate([[0], middle, [n]]), np.concatenate([[low], mean, [high]]))
+    rank = np.clip(np.ceil(np.asarray(qs) * n - 1e-9), 1, n)
+    return np.interp(rank - 0.5, np.concatenate([[0], middle, [n]]), np.concatenate([[low], mean, [high]]))
 
 
 def _digest_batch(names: list[tuple], g: np.ndarray, m: np.ndarray, w: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
@@ -74,7 +71,7 @@ def _digest_batch(names: list[tuple], g: np.ndarray, m: np.ndarray, w: np.ndarra
     return pa.RecordBatch.from_arrays(columns, [*GROUP, "n", "low", "high", "means", "weights"])
 
 
-def _build(batches: Iterator[pa.RecordBatch], delta: float, whole: int, rows: int) -> Iterator[pa.RecordBatch]:
+def _build(batches: Iterator[pa.RecordBatch], delta: float, rows: int) -> Iterator[pa.RecordBatch]:
     """Digests of one partition's rows (metric_name, labels, value) by metric and by metric and label."""
     ids: dict[tuple, int] = {}
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -82,7 +79,7 @@ def _build(batches: Iterator[pa.RecordBatch], delta: float, whole: int, rows: in
 
     def squeeze() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         g, v, w = (np.concatenate([h[i] for h in held]) for i in range(3))
-        return cluster(g, v, w, delta, whole)
+        return cluster(g, v, w, delta)
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal ids, held, waiting
@@ -143,7 +140,7 @@ def _build(batches: Iterator[pa.RecordBatch], delta: float, whole: int, rows: in
     yield from flush()
 
 
-def build_digests(df: DataFrame, delta: float = 400, whole: int = 512, rows: int = 1_000_000) -> DataFrame:
+def build_digests(df: DataFrame, delta: float = 400, rows: int = 1_000_000) -> DataFrame:
     """Digests (DIGEST) of value by metric_name, and by metric_name and every single label, one a group and partition.
 
     ``df``: metric_name, name_value_labels, value. Null, NaN and infinite values are left out. label and
@@ -152,44 +149,41 @@ def build_digests(df: DataFrame, delta: float = 400, whole: int = 512, rows: int
     """
     finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
     picked = df.filter(finite).select(F.col("metric_name").cast("string"), "name_value_labels", F.col("value").cast("double"))
-    return picked.mapInArrow(lambda batches: _build(batches, delta, whole, rows), DIGEST)
+    return picked.mapInArrow(lambda batches: _build(batches, delta, rows), DIGEST)
 
 
-def _merged(table: pa.Table, starts: np.ndarray, delta: float, whole: int) -> tuple:
+def _merged(table: pa.Table, starts: np.ndarray, delta: float) -> tuple:
     group = np.zeros(table.num_rows, np.int64)
     group[starts] = 1
     group = np.cumsum(group) - 1
     means, weights = (table.column(c).combine_chunks() for c in ("means", "weights"))
     means, weights = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (means, weights))
     sizes = np.diff(means.offsets.to_numpy())
-    g, m, w = cluster(np.repeat(group, sizes), means.flatten().to_numpy(), weights.flatten().to_numpy(), delta, whole)
+    g, m, w = cluster(np.repeat(group, sizes), means.flatten().to_numpy(), weights.flatten().to_numpy(), delta)
     low = np.minimum.reduceat(table.column("low").to_numpy(), starts)
     high = np.maximum.reduceat(table.column("high").to_numpy(), starts)
     names = list(zip(*(table.column(c).take(pa.array(starts)).to_pylist() for c in GROUP)))
     return names, g, m, w, low, high
 
 
-def _keyed(digests: DataFrame, salt: bool) -> DataFrame:
+def _keyed(digests: DataFrame, part: Column) -> DataFrame:
     names = [F.coalesce(F.col(c), F.lit("\u0002")) for c in GROUP]
-    keyed = digests.withColumns({"h1": F.xxhash64(*names), "h2": F.hash(*names)})
-    return keyed.withColumn("h3", F.pmod(F.xxhash64("means", "weights"), F.lit(32)).cast("int") if salt else F.lit(0))
+    return digests.withColumns({"h1": F.xxhash64(*names), "h2": F.hash(*names), "h3": part})
 
 
-def merge_digests(digests: DataFrame, delta: float = 400, whole: int = 512, salted: bool | None = None) -> DataFrame:
+def merge_digests(digests: DataFrame, delta: float = 400, fan: int = 64) -> DataFrame:
     """One digest a group (DIGEST), from digests of any origin.
 
-    With many partitions a group has as many digests as there are partitions; they are then merged in two
-    rounds, the first of them salted (``salted``; by default from 500 partitions on).
+    A group has as many digests as there are partitions. They are merged in two rounds: those of ``fan``
+    partitions first, then what comes of that, so no task gets those of a group from all partitions.
     """
-    if salted is None:
-        salted = digests.rdd.getNumPartitions() >= 500
 
     def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
-        return pa.Table.from_batches([_digest_batch(*_merged(table, starts, delta, whole))])
+        return pa.Table.from_batches([_digest_batch(*_merged(table, starts, delta))])
 
-    if salted:
-        digests = map_sorted_groups(_keyed(digests, True), ["h1", "h2", "h3"], ["low", "n"], work, DIGEST)
-    return map_sorted_groups(_keyed(digests, False), ["h1", "h2", "h3"], ["low", "n"], work, DIGEST)
+    for part in (F.floor(F.spark_partition_id() / fan).cast("int"), F.lit(0)):
+        digests = map_sorted_groups(_keyed(digests, part), ["h1", "h2", "h3"], ["low", "n"], work, DIGEST)
+    return digests
 
 
 def _estimates(batches: Iterator[pa.RecordBatch], qs: tuple[float, ...]) -> Iterator[pa.RecordBatch]:
@@ -198,42 +192,26 @@ def _estimates(batches: Iterator[pa.RecordBatch], qs: tuple[float, ...]) -> Iter
         cuts = means.offsets.to_numpy() - means.offsets[0].as_py()
         m, w = means.flatten().to_numpy(), weights.flatten().to_numpy()
         low, high = b.column(4).to_numpy(), b.column(5).to_numpy()
-        values, errors, exact = [], [], []
-        for i in range(b.num_rows):
-            mi, wi = m[cuts[i] : cuts[i + 1]], w[cuts[i] : cuts[i + 1]]
-            x = quantiles(mi, wi, low[i], high[i], qs)
-            values.append(x)
-            exact.append(bool(len(mi) == wi.sum()))
-            errors.append(0.0 if exact[-1] else None)  # a digest of all values is exact
+        values = [quantiles(m[cuts[i] : cuts[i + 1]], w[cuts[i] : cuts[i + 1]], low[i], high[i], qs) for i in range(b.num_rows)]
         flat = np.concatenate(values) if values else np.zeros(0)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(qs), pa.int32()), pa.array(flat, pa.float64()))
-        yield pa.RecordBatch.from_arrays(
-            [*b.columns[:4], lists, pa.array(exact, pa.bool_()), pa.array(errors, pa.float64())], [*GROUP, "n", "estimates", "whole", "error"]
-        )
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], lists], [*GROUP, "n", "estimates"])
 
 
 def estimate(digests: DataFrame, qs: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """Percentiles of merged digests: GROUP, n, estimates (one a quantile), whole and error.
-
-    A digest that still holds every value (``whole``) gives the exact percentiles, linear between ranks, and
-    their error is 0; for others it is null until ``certify`` has counted.
-    """
-    return digests.mapInArrow(
-        lambda batches: _estimates(batches, qs),
-        "metric_name string, label string, label_value string, n bigint, estimates array<double>, whole boolean, error double",
-    )
+    """Percentiles of merged digests: GROUP, n, estimates (one a quantile)."""
+    return digests.mapInArrow(lambda batches: _estimates(batches, qs), "metric_name string, label string, label_value string, n bigint, estimates array<double>")
 
 
 def certify(df: DataFrame, estimates: DataFrame, qs: tuple[float, ...] = QUANTILES, broadcast_rows: int = 200_000) -> DataFrame:
-    """Adds ``error`` to estimates without one: the largest distance of an estimate's rank from its quantile, as a share of the group's rows.
+    """Adds ``rank_error`` to estimates: the largest distance of an estimate's rank from its quantile, as a share of the group's rows.
 
-    A pass over all rows counts those below and up to each estimate. Estimates are broadcast up to
+    An estimate has ranks from the number of smaller values to the number of those up to it. A pass over all rows counts those below and up to each estimate. Estimates are broadcast up to
     ``broadcast_rows`` groups, else joined by shuffle, where adaptive execution splits hot groups. ``estimates``
     should be a table or checkpoint, as it is read three times.
     """
-    open_ = estimates.filter("error is null")
     named = lambda d: [F.coalesce(F.col(c), F.lit("\u0002")).alias(f"__{c}") for c in d]
-    targets = open_.select(*named(GROUP), "estimates")
+    targets = estimates.select(*named(GROUP), "estimates")
     if targets.limit(broadcast_rows + 1).count() <= broadcast_rows:
         targets = F.broadcast(targets)
     finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
@@ -249,4 +227,4 @@ def certify(df: DataFrame, estimates: DataFrame, qs: tuple[float, ...] = QUANTIL
     errors = [F.greatest(F.col(f"__under{i}") / F.col("__n") - q, F.lit(q) - F.col(f"__upto{i}") / F.col("__n"), F.lit(0.0)) for i, q in enumerate(qs)]
     ranks = ranks.select("__metric_name", "__label", "__label_value", F.greatest(*errors).alias("__error"))
     keyed = estimates.select("*", *named(GROUP)).join(ranks, ["__metric_name", "__label", "__label_value"], "left")
-    return keyed.select(*GROUP, "n", "estimates", F.coalesce("error", "__error").alias("rank_error"))
+    return keyed.select(*GROUP, "n", "estimates", F.col("__error").alias("rank_error"))

@@ -35,6 +35,11 @@ def p5_certified(spark: SparkSession, d: str) -> DataFrame:
     return p5_percentiles(spark, d).select(*digests.GROUP, "n", (F.col("rank_error") <= RANK_ERROR).alias("within"))
 
 
+def p5_small(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of the groups that are small enough for their digests to hold every value."""
+    return p5_percentiles(spark, d).filter("n <= 250")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"), "text", ["doc_id"])
 
@@ -67,7 +72,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p2_found, p2_terms, p5_percentiles, p5_certified, p8_ids, p9_packing, p9_check, p10_found, p10_quality)
+    f.__name__: f for f in (p2_found, p2_terms, p5_percentiles, p5_certified, p5_small, p8_ids, p9_packing, p9_check, p10_found, p10_quality)
 }
 
 _TERMS = r"""
@@ -81,14 +86,20 @@ m as (
   select *, case when records <= 2 then 'rare' when records * 10 > (select count(*) from one) then 'common' else '' end as mark from c)
 """
 
+_VALUES = """
+with v as (select metric_name, name_value_labels as labels, value from metric_wal where value is not null and not isnan(value) and not isinf(value)),
+k as (
+  select metric_name, null as label, null as label_value, value from v
+  union all select metric_name, e.key, e.value, value from (select metric_name, value, unnest(map_entries(labels)) as e from v))
+"""
+
 ORACLES = {
     "p2_terms": _TERMS + "select * from m",
     "p2_found": _TERMS + "select origin, term, mark from m where mark <> ''",
-    "p5_certified": """
-with v as (select metric_name, name_value_labels as labels from metric_wal where value is not null and not isnan(value) and not isinf(value)),
-k as (
-  select metric_name, null as label, null as label_value from v
-  union all select metric_name, e.key, e.value from (select metric_name, unnest(map_entries(labels)) as e from v))
-select metric_name, label, label_value, count(*)::bigint as n, true as within from k group by metric_name, label, label_value""",
+    "p5_certified": _VALUES + "select metric_name, label, label_value, count(*)::bigint as n, true as within from k group by metric_name, label, label_value",
+    "p5_small": _VALUES
+    + """select metric_name, label, label_value, n, x[ceil(0.5 * n - 1e-9)::int] as p50, x[ceil(0.9 * n - 1e-9)::int] as p90, x[ceil(0.95 * n - 1e-9)::int] as p95,
+       x[ceil(0.99 * n - 1e-9)::int] as p99, x[ceil(0.999 * n - 1e-9)::int] as p999, 0.0::double as rank_error
+from (select metric_name, label, label_value, count(*)::bigint as n, list_sort(list(value)) as x from k group by metric_name, label, label_value) where n <= 250""",
     "p9_check": "select count(distinct doc_id)::bigint as documents, 0::bigint as too_full, 0::bigint as cut_needlessly from documents",
 }
