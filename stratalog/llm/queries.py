@@ -44,8 +44,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"), "text", ["doc_id"])
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_texts(table(spark, d, "documents"), "text", ["doc_id"], lengths=True)
+
+
+def p9_bound(spark: SparkSession, d: str) -> DataFrame:
+    return pack.packing_report(_sizes(spark, d))
+
+
 def _packing(spark: SparkSession, d: str) -> DataFrame:
-    return pack.pack(encode.encode_texts(table(spark, d, "documents"), "text", ["doc_id"], lengths=True))
+    return pack.pack(_sizes(spark, d))
 
 
 def p9_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -53,13 +61,15 @@ def p9_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_check(spark: SparkSession, d: str) -> DataFrame:
-    """Documents in the packing, containers that are too full, and documents cut though they would fit."""
+    """Documents in the packing, containers that are too full, documents cut though they would fit, and whether there is at most one percent more than volume asks for, or one container."""
     packing = cut(_packing(spark, d))
-    full = pack.container_fill(packing).agg(F.count_if(F.col("tokens") > 2048).alias("n")).scalar()
+    fill = pack.container_fill(packing)
+    full = fill.agg(F.count_if(F.col("tokens") > 2048).alias("n")).scalar()
+    tight = fill.agg((F.count(F.lit(1)) <= F.ceil(F.sum("tokens") / 2048 * 1.01)).alias("tight")).scalar()
     per = packing.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"))
     return per.agg(
         F.count(F.lit(1)).alias("documents"), full.cast("bigint").alias("too_full"),
-        F.count_if(F.col("pieces") > F.greatest(F.lit(1), F.ceil(F.col("tokens") / 2048))).alias("cut_needlessly"),
+        F.count_if(F.col("pieces") > F.greatest(F.lit(1), F.ceil(F.col("tokens") / 2048))).alias("cut_needlessly"), tight.alias("tight"),
     )
 
 
@@ -72,7 +82,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p2_found, p2_terms, p5_percentiles, p5_certified, p5_small, p8_ids, p9_packing, p9_check, p10_found, p10_quality)
+    f.__name__: f for f in (p2_found, p2_terms, p5_percentiles, p5_certified, p5_small, p8_ids, p9_packing, p9_bound, p9_check, p10_found, p10_quality)
 }
 
 _TERMS = r"""
@@ -101,5 +111,5 @@ ORACLES = {
     + """select metric_name, label, label_value, n, x[ceil(0.5 * n - 1e-9)::int] as p50, x[ceil(0.9 * n - 1e-9)::int] as p90, x[ceil(0.95 * n - 1e-9)::int] as p95,
        x[ceil(0.99 * n - 1e-9)::int] as p99, x[ceil(0.999 * n - 1e-9)::int] as p999, 0.0::double as rank_error
 from (select metric_name, label, label_value, count(*)::bigint as n, list_sort(list(value)) as x from k group by metric_name, label, label_value) where n <= 250""",
-    "p9_check": "select count(distinct doc_id)::bigint as documents, 0::bigint as too_full, 0::bigint as cut_needlessly from documents",
+    "p9_check": "select count(distinct doc_id)::bigint as documents, 0::bigint as too_full, 0::bigint as cut_needlessly, true as tight from documents",
 }

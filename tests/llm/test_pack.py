@@ -4,15 +4,14 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stratalog.llm import pack as pack_module
-from stratalog.llm.pack import Slots, best_config, container_fill, pack, solve
+from stratalog.llm.pack import Slots, container_fill, knapsack, pack, packing_report, solve
 
 SCHEMA = "doc_id long, n_tokens long, piece string, container_id string"
 
 
 def _covers(solution, histogram, capacity):
     got = Counter()
-    for config, n in solution.items():
+    for config, n in solution.configs.items():
         assert sum(length * times for length, times in config) <= capacity
         for length, times in config:
             got[length] += times * n
@@ -24,12 +23,11 @@ def test_pricing_is_the_best_knapsack():
     for _ in range(20):
         lengths = np.array(sorted(random.sample(range(3, 40), 6)))
         prices = np.array([random.random() * x for x in lengths])
-        config = best_config(prices, np.full(6, 10**6), lengths, 60)
-        value = sum(prices[np.searchsorted(lengths, x)] * n for x, n in config)
+        best, _ = knapsack(prices, lengths, 60)
         table = [0.0] * 61
         for c in range(1, 61):
             table[c] = max([table[c - 1]] + [table[c - x] + p for x, p in zip(lengths, prices) if x <= c])
-        assert value >= table[60] - 1e-9
+        assert np.allclose(best, table)
 
 
 @pytest.mark.parametrize("scale", [1, 50, 5000])
@@ -40,32 +38,42 @@ def test_solutions_cover_exactly_and_waste_little(scale):
     solution = solve(histogram, 400, rounds=100)
     assert _covers(solution, histogram, 400)
     volume = sum(k * v for k, v in histogram.items()) / 400
-    assert sum(solution.values()) <= 1.01 * volume + 3
+    assert solution.containers <= 1.01 * volume + 3
 
 
 def test_hard_lengths_get_the_least_number():
     # 34 and 66 fill a container of 100 in pairs; three of 34 do not fit
-    assert sum(solve({34: 1000, 66: 1000}, 100).values()) == 1000
-    assert sum(solve({51: 777}, 100).values()) == 777
-    assert sum(solve({50: 7}, 100).values()) == 4
+    assert solve({34: 1000, 66: 1000}, 100).containers == 1000
+    assert solve({51: 777}, 100).containers == 777
+    assert solve({50: 7}, 100).containers == 4
 
 
-def test_small_inputs_are_solved_too(monkeypatch):
-    left = []
-    best_fit = pack_module._best_fit
-    monkeypatch.setattr(pack_module, "_best_fit", lambda x, n, c: left.append(int((x * n).sum())) or best_fit(x, n, c))
+def test_bounds_are_bounds():
+    # 777 items of over a half need a container each, which volume doesn't tell
+    for histogram, least in (({51: 777}, 777), ({34: 1000, 66: 1000}, 1000), ({26: 30, 49: 30}, 20)):
+        found = solve(histogram, 100)
+        assert found.bound <= found.containers and found.containers >= least and _covers(found, histogram, 100)
+    assert solve({51: 777}, 100).bound == pytest.approx(777)
+
+
+def test_the_program_beats_best_fit_where_volume_cannot_be_met():
+    histogram = Counter(np.random.default_rng(1).integers(500, 1100, 20000).tolist())
+    found = solve(histogram, 2048)
+    assert _covers(found, histogram, 2048)
+    assert found.bound <= found.containers < 8150  # best fit alone takes 8,449
+
+
+def test_small_inputs_are_solved_too():
     rng = np.random.default_rng(0)
-    histogram = Counter(int(x) for x in np.clip(rng.lognormal(4.2, 0.8, 1000), 1, 400))
-    volume = sum(x * n for x, n in histogram.items())
-    solution = solve(histogram, 400)
-    assert left[0] < 0.1 * volume
-    assert sum(solution.values()) <= volume / 400 * 1.01 + 1
-    assert sum((Counter({x: m * k for x, m in config}) for config, k in solution.items()), Counter()) == histogram
+    for n in (1, 5, 60, 1000):
+        histogram = Counter(int(x) for x in np.clip(rng.lognormal(4.2, 0.8, n), 1, 400))
+        found = solve(histogram, 400)
+        assert _covers(found, histogram, 400)
+        assert found.containers <= sum(x * n for x, n in histogram.items()) / 400 * 1.01 + 1
 
 
 def test_slots_number_every_item_once():
-    solution = solve({7: 100, 5: 31, 12: 9}, 20)
-    slots = Slots.of(solution)
+    slots = Slots.of(solve({7: 100, 5: 31, 12: 9}, 20).configs)
     fill = Counter()
     for length, n in ((7, 100), (5, 31), (12, 9)):
         for c in slots.container(np.full(n, length), np.arange(n)):
@@ -101,6 +109,8 @@ def test_documents_pieces_and_containers(spark):
     assert len(pieces[7]) == Counter(x[0] for x in rows)[7]
     assert len(fill) <= 1.02 * sum(want.values()) / 512 + 2
     assert container_fill(out, 512).filter("unused < 0").count() == 0
+    report = packing_report(df, 512, rounds=60).first()
+    assert report["containers"] == len(fill) and report["volume"] <= report["bound"] <= report["containers"]
 
 
 def test_only_empty_items_and_empty_table(spark):
