@@ -2,10 +2,10 @@
 
 Every file's schema is a tree of fields with a type and a histogram of the sorts of their values,
 gathered with partial counts over all records. Successive files of a stream are compared by an
-edit distance between unordered trees: fields of equal name are paired, the rest are assigned at
-least cost to renames (same type, same sort of values), removals, additions and moves. The scripts
-are compiled into one projection a file, which maps the names of that file to the names the fields
-have at the end of the stream.
+edit distance between unordered trees: fields of equal name under one parent are paired, all the rest of
+both trees are assigned together, at least cost, to renames (same type, same sort of values), moves to
+another parent, removals and additions. The scripts are compiled into one projection a file, which takes
+every field, nested ones too, to the place, name and type it has at the end of the stream.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratalog.operators.sortedgroups import map_sorted_groups
+from stratalog.session import cut
 
 CHANGES = "origin string, stream string, file_no int, change string, field string, new_field string, depth int, old_type string, new_type string, cost double"
 PROFILE = "origin string, stream string, file_no int, path string, type string, sort string, n bigint"
@@ -238,58 +239,53 @@ class Edit:
 
 
 def edit_script(a: Node, b: Node, same: float = 0.5, old: tuple = (), new: tuple = ()) -> list[Edit]:
-    """The script of least cost from one tree to another, without moves (see ``with_moves``).
+    """The script of least cost from one tree to another, where fields of equal name under one parent are the same field.
 
-    Removing or adding a subtree costs its size, a changed type 1, a rename between a half and 1.
+    Removing or adding a subtree costs its size, a changed type 1, a rename under one parent between a half
+    and 1, a move to another parent under the same name and type 1; renames and moves also what changes inside.
     """
     edits: list[Edit] = []
-    for name in a.members.keys() & b.members.keys():
-        x, y = a.members[name], b.members[name]
-        if x.type and y.type and x.type != y.type:
-            edits.append(Edit("retyped", (*old, name), (*new, name), x.type, y.type, 1.0))
-        else:
-            edits += edit_script(x, y, same, (*old, name), (*new, name))
-    left = [a.members[k] for k in sorted(a.members.keys() - b.members.keys())]
-    right = [b.members[k] for k in sorted(b.members.keys() - a.members.keys())]
+    left: list[tuple[tuple, Node]] = []
+    right: list[tuple[tuple, Node]] = []
+
+    def walk(a: Node, b: Node, at: tuple) -> None:
+        for name in sorted(a.members.keys() & b.members.keys()):
+            x, y = a.members[name], b.members[name]
+            if x.type and y.type and x.type != y.type:
+                edits.append(Edit("retyped", (*old, *at, name), (*new, *at, name), x.type, y.type, 1.0))
+            else:
+                walk(x, y, (*at, name))
+        left.extend((at, a.members[k]) for k in sorted(a.members.keys() - b.members.keys()))
+        right.extend((at, b.members[k]) for k in sorted(b.members.keys() - a.members.keys()))
+
+    walk(a, b, ())
     n = len(left) + len(right)
     pairs: dict[int, int] = {}
     if left and right:
         cost = np.zeros((n, n))
         cost[: len(left), : len(right)] = 1e6
-        for i, x in enumerate(left):
+        for i, (at, x) in enumerate(left):
             cost[i, len(right) :] = x.size
-            for j, y in enumerate(right):
+            for j, (to, y) in enumerate(right):
                 alike = likeness(x, y)
-                if alike >= same:
-                    inner = sum(e.cost for e in edit_script(x, y, same))
-                    cost[i, j] = 0.5 + 0.5 * (1 - alike) + inner
-        for j, y in enumerate(right):
+                if at == to and alike >= same:
+                    cost[i, j] = 0.5 + 0.5 * (1 - alike) + sum(e.cost for e in edit_script(x, y, same))
+                elif at != to and x.name == y.name and x.type == y.type:
+                    cost[i, j] = 1.0 + sum(e.cost for e in edit_script(x, y, same))
+        for j, (_, y) in enumerate(right):
             cost[len(left) :, j] = y.size
         for i, j in enumerate(assign(cost)[: len(left)]):
             if j < len(right) and cost[i, j] < 1e6:
                 pairs[i] = j
-                x, y = left[i], right[j]
-                edits.append(Edit("renamed", (*old, x.name), (*new, y.name), x.type, y.type, float(cost[i, j])))
-                edits += edit_script(x, y, same, (*old, x.name), (*new, y.name))
-    edits += [Edit("removed", (*old, x.name), (*old, x.name), x.type, "", x.size) for i, x in enumerate(left) if i not in pairs]
-    edits += [Edit("added", (*new, y.name), (*new, y.name), "", y.type, y.size) for j, y in enumerate(right) if j not in pairs.values()]
+                (at, x), (to, y) = left[i], right[j]
+                inner = edit_script(x, y, same, (*old, *at, x.name), (*new, *to, y.name))
+                edits.append(Edit("renamed" if at == to else "moved", (*old, *at, x.name), (*new, *to, y.name), x.type, y.type, float(cost[i, j])))
+                edits += inner
+    edits += [Edit("removed", (*old, *at, x.name), (*old, *at, x.name), x.type, "", x.size) for i, (at, x) in enumerate(left) if i not in pairs]
+    edits += [Edit("added", (*new, *to, y.name), (*new, *to, y.name), "", y.type, y.size) for j, (to, y) in enumerate(right) if j not in pairs.values()]
     return edits
 
 
-def with_moves(edits: list[Edit]) -> list[Edit]:
-    """Turns a removal and an addition of the same name and type under different parents into a move."""
-    gone = {(e.old[-1], e.old_type): e for e in edits if e.change == "removed"}
-    out, used = [], set()
-    for e in edits:
-        was = gone.get((e.new[-1], e.new_type)) if e.change == "added" else None
-        if was and was.old[:-1] != e.new[:-1] and was not in used:
-            used.add(was)
-            out.append(Edit("moved", was.old, e.new, was.old_type, e.new_type, 1.0))
-        else:
-            out.append(e)
-    return [e for e in out if e not in used]
-
-
 def _compare(table: pa.Table, starts: np.ndarray, least: float, same: float) -> pa.Table:
     """Changes of whole pairs of files; side 0 holds the earlier file's profile, side 1 the later one's."""
     ends = [*starts[1:].tolist(), table.num_rows]
@@ -301,7 +297,7 @@ def _compare(table: pa.Table, starts: np.ndarray, least: float, same: float) ->
             sides[cols["side"][i]].append((cols["path"][i], cols["type"][i], cols["sort"][i], cols["n"][i]))
         if not sides[0] or not sides[1]:
             continue
-        for e in with_moves(edit_script(tree_of(sides[0], least), tree_of(sides[1], least), same)):
+        for e in edit_script(tree_of(sides[0], least), tree_of(sides[1], least), same):
             where = (cols["origin"][a], cols["stream"][a], cols["file_no"][a])
             out.append((*where, e.change, ".".join(e.old), ".".join(e.new), len(e.old), e.old_type, e.new_type, e.cost))
     types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64()]
@@ -313,8 +309,10 @@ def schema_changes(profiles: DataFrame, least: float = 0.05, same: float = 0.5)
     """Changes from each file of a stream to the next one present (CHANGES), from ``schema_profiles``.
 
     ``field`` and ``new_field`` are dotted paths; they are equal unless renamed or moved. A file without
-    records is not present. No group is larger than the profiles of two files.
+    records is not present. No group is larger than the profiles of two files. The profiles are used three
+    times and cut first, so records are read once.
     """
+    profiles = cut(profiles)
     files = profiles.filter("path = ''").select("origin", "stream", "file_no").distinct()
     order = Window.partitionBy("origin", "stream").orderBy("file_no")
     later = files.withColumn("later", F.lead("file_no").over(order)).filter("later is not null")
@@ -329,6 +327,7 @@ def schema_changes(profiles: DataFrame, least: float = 0.05, same: float = 0.5)
 
 def field_changes(changes: DataFrame) -> DataFrame:
     """Changes of top-level fields: stream, file_no, change, field, new_field. A move out of or into a nested object is a removal or an addition."""
+    changes = cut(changes)
     top = lambda c: ~F.col(c).contains(".")
     plain = changes.filter((F.col("change") != "moved") & (F.col("depth") == 1))
     out = changes.filter((F.col("change") == "moved") & (F.col("depth") == 1)).withColumns({"change": F.lit("removed"), "new_field": F.col("field")})
@@ -337,46 +336,105 @@ def field_changes(changes: DataFrame) -> DataFrame:
     return every.select("stream", "file_no", "change", "field", "new_field").distinct()
 
 
+def flat_fields(entry: str | None) -> dict[str, str | None] | None:
+    """The fields of a write-ahead entry by dotted path, as texts: members of objects one by one, arrays and empty objects as JSON."""
+    fields = log_fields(entry)
+    if fields is None:
+        return None
+    out: dict[str, str | None] = {}
+
+    def walk(members: dict, prefix: str) -> None:
+        for name, value in members.items():
+            if isinstance(value, dict) and value:
+                walk(value, f"{prefix}{name}.")
+            elif value is None or isinstance(value, str):
+                out[prefix + name] = value
+            else:
+                out[prefix + name] = _json(value)
+
+    walk(fields, "")
+    return out
+
+
+def _json(value: object) -> str:
+    """JSON of a parsed value, numbers as they were written."""
+    if isinstance(value, Written):
+        return value.text
+    if isinstance(value, list):
+        return f"[{', '.join(map(_json, value))}]"
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{_json(k)}: {_json(v)}" for k, v in value.items()) + "}"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def flat_records(df: DataFrame, entry: str) -> DataFrame:
+    """Adds ``fields`` (map of texts, see ``flat_fields``; null for rows that are no records) in place of the column ``entry``."""
+    keep = [c for c in df.columns if c != entry]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "fields map<string,string>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [flat_fields(x) for x in b.column(len(keep)).to_pylist()]
+            maps = pa.array([None if f is None else list(f.items()) for f in found], pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], maps], [*keep, "fields"])
+
+    return df.select(*keep, entry).mapInArrow(run, schema)
+
+
 def projections(changes: DataFrame) -> DataFrame:
-    """One row for every range of files of a stream and old name: origin, stream, old, until, final.
+    """The steps of every stream that its earlier files must follow: origin, stream, steps.
 
-    In files before ``until`` (and from the change before it) the field ``old`` is the one that is
-    called ``final`` in the end. Renames are followed one by one; a stream has few of them.
+    ``steps`` (file_no, inner first, change, field, new_field, new_type) are renames, moves and new types, in order. A record
+    of a file follows those of later files, at most one rename or move a file for each field.
     """
-    renames = changes.filter((F.col("change") == "renamed") & (F.col("depth") == 1)).groupBy("origin", "stream").agg(
-        F.array_sort(F.collect_list(F.struct("file_no", "field", "new_field"))).alias("steps")
-    )
-    step = F.explode(F.transform("steps", lambda x: x)).alias("step")
-    every = renames.select("origin", "stream", "steps", step)
-    final = F.aggregate(
-        F.filter("steps", lambda x: x["file_no"] >= F.col("step.file_no")),
-        F.col("step.field"),
-        lambda at, x: F.when(x["field"] == at, x["new_field"]).otherwise(at),
+    step = F.struct("file_no", (-F.col("depth")).alias("order"), "change", "field", "new_field", "new_type")
+    return changes.filter(F.col("change").isin("renamed", "moved", "retyped")).groupBy("origin", "stream").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+
+
+def _brought(value: Column, kind: Column) -> Column:
+    """A text as another type is written; null where it can't be."""
+    number = value.try_cast("decimal(38,6)")
+    return (
+        F.when(kind == "integer", F.when(number == F.floor(number), F.floor(number).cast("string")))
+        .when(kind == "decimal", F.when(value.try_cast("double").isNotNull(), F.when(value.rlike("[.eE]"), value).otherwise(F.concat(value, F.lit(".0")))))
+        .when(kind == "boolean", F.when(F.lower(value).isin("true", "1"), "true").when(F.lower(value).isin("false", "0"), "false"))
+        .when(kind == "object", F.when(value.startswith("{"), value))
+        .when(kind == "array", F.when(value.startswith("["), value))
+        .otherwise(value)
     )
-    since = F.array_max(F.transform(F.filter("steps", lambda x: (x["new_field"] == F.col("step.field")) & (x["file_no"] < F.col("step.file_no"))), lambda x: x["file_no"]))
-    return every.select(
-        "origin", "stream", F.col("step.field").alias("old"), F.coalesce(since, F.lit(-2147483648)).alias("since"),
-        F.col("step.file_no").alias("until"), final.alias("final"),
-    )
 
 
-def consistent_table(records: DataFrame, origin: str, fields: Column, changes: DataFrame) -> DataFrame:
-    """Every record with its fields under the names they have at the end of the stream.
+def consistent_table(records: DataFrame, origin: str, fields: Column, changes: DataFrame, broadcast_rows: int = 20_000) -> DataFrame:
+    """Every record with its fields at the place, by the name and in the type they have at the end of the stream.
 
-    ``records`` has stream and file_no; ``fields`` is a map of texts. The result has all other columns of
-    ``records`` and ``consistent`` (map of texts; null for null fields). Where a file has both a field and
-    another that is projected to its name, the one that keeps its name wins.
+    ``records`` has stream and file_no; ``fields`` is a map of texts by dotted path. The result has all other
+    columns of ``records``, ``consistent`` (map of texts; null for null fields) and ``unfit`` (fields whose value
+    can't be written in the final type: they keep what they have). Where a file has both a field and another
+    that is projected to its name, the one that keeps its name wins. Steps are broadcast up to ``broadcast_rows`` streams.
     """
-    steps = projections(changes).filter(F.col("origin") == origin)
-    maps = steps.groupBy("stream").agg(F.collect_list(F.struct("old", "since", "until", "final")).alias("__steps"))
-    own = F.filter("__steps", lambda x: (F.col("file_no") >= x["since"]) & (F.col("file_no") < x["until"]))
+    maps = cut(projections(changes).filter(F.col("origin") == origin).select("stream", F.col("steps").alias("__steps")))
+    if maps.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        maps = F.broadcast(maps)
     joined = records.withColumn("__fields", fields).join(maps, "stream", "left")
-
-    def name(k: Column) -> Column:
-        found = F.filter(own, lambda x: x["old"] == k)
-        return F.when(F.size(found) > 0, found[0]["final"]).otherwise(k)
-
-    entries = F.transform(F.map_entries("__fields"), lambda e: F.struct(name(e["key"]).alias("key"), (name(e["key"]) == e["key"]).alias("kept"), e["value"].alias("value")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    best = lambda k: F.array_max(F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: F.struct(e["kept"], e["value"])))["value"]
-    return joined.withColumn("consistent", F.map_from_arrays(keys, F.transform(keys, best))).drop("__steps", "__fields")
+    later = F.filter(F.coalesce("__steps", F.array()), lambda x: x["file_no"] > F.col("file_no"))
+
+    def follow(at: Column, step: Column) -> Column:
+        inside = (at["path"] == step["field"]) | at["path"].startswith(F.concat(step["field"], F.lit(".")))
+        path = F.concat(step["new_field"], F.substr(at["path"], F.length(step["field"]) + 1))
+        goes = inside & (step["change"] != "retyped") & (at["file_no"] < step["file_no"])
+        kind = F.when((step["change"] == "retyped") & (at["path"] == step["field"]), step["new_type"]).otherwise(at["kind"])
+        return F.struct(F.when(goes, path).otherwise(at["path"]).alias("path"), F.when(goes, step["file_no"]).otherwise(at["file_no"]).alias("file_no"), kind.alias("kind"))
+
+    start = lambda k: F.struct(k.alias("path"), F.col("file_no").cast("int").alias("file_no"), F.lit("").alias("kind"))
+    ends = F.transform(F.map_entries("__fields"), lambda e: F.struct(F.aggregate(F.col("__later"), start(e["key"]), follow).alias("to"), e["key"].alias("was"), e["value"].alias("value")))
+    joined = joined.withColumn("__later", later).withColumn("__ends", ends)
+    entries = F.transform(
+        "__ends",
+        lambda e: F.struct(e["to"]["path"].alias("key"), (e["to"]["path"] == e["was"]).alias("kept"), F.coalesce(_brought(e["value"], e["to"]["kind"]), e["value"]).alias("value"),
+                           (e["value"].isNotNull() & _brought(e["value"], e["to"]["kind"]).isNull()).alias("unfit")),
+    )
+    joined = joined.withColumn("__entries", entries)
+    keys = F.array_distinct(F.transform("__entries", lambda e: e["key"]))
+    best = lambda k: F.array_max(F.transform(F.filter("__entries", lambda e: e["key"] == k), lambda e: F.struct(e["kept"], e["value"])))["value"]
+    unfit = F.transform(F.filter("__entries", lambda e: e["unfit"]), lambda e: e["key"])
+    return joined.withColumns({"consistent": F.map_from_arrays(keys, F.transform(keys, best)), "unfit": F.array_sort(unfit)}).drop("__steps", "__fields", "__later", "__ends", "__entries")

@@ -65,17 +65,29 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.field_changes(p6_changes(spark, d))
 
 
+def p6_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The changes with every rename as the removal and the addition it is made of."""
+    found = cut(p6_found(spark, d))
+    parts = found.filter("change <> 'renamed'").unionByName(found.filter("change = 'renamed'").withColumns({"change": F.lit("removed"), "new_field": F.col("field")}))
+    parts = parts.unionByName(found.filter("change = 'renamed'").withColumns({"change": F.lit("added"), "field": F.col("new_field")}))
+    return parts.select("stream", "file_no", "change", "field").distinct()
+
+
 def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
-    """Both tables under the final names of their fields; what is no record in log_wal has null fields."""
+    """Both tables under the final places, names and types of their fields; what is no record in log_wal has null fields."""
     changes = cut(p6_changes(spark, d))
-    columns = ["origin", "row_id", "stream", "file_no", "line_no", "consistent"]
+    columns = ["origin", "row_id", "stream", "file_no", "line_no", "consistent", "unfit"]
     logs = table(spark, d, "log_messages").select(F.lit("log_messages").alias("origin"), F.col("log_message_id").alias("row_id"), "stream", "file_no", "line_no", "fields")
-    wal = table(spark, d, "log_wal").select(
-        F.lit("log_wal").alias("origin"), F.col("wal_id").alias("row_id"), "stream", "file_no", "line_no",
-        F.from_json(F.get_json_object("entry", "$.Log.fields"), "map<string,string>").alias("fields"),
-    )
+    wal = table(spark, d, "log_wal").select(F.lit("log_wal").alias("origin"), F.col("wal_id").alias("row_id"), "stream", "file_no", "line_no", "entry")
     one = lambda df, origin: drift.consistent_table(df, origin, F.col("fields"), changes).select(columns)
-    return one(logs, "log_messages").unionByName(one(wal, "log_wal"))
+    return one(logs, "log_messages").unionByName(one(drift.flat_records(wal, "entry"), "log_wal"))
+
+
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, records and records with fields by stream: none is lost on the way to the consistent table."""
+    return p6_consistent(spark, d).groupBy("origin", "stream", "file_no").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("consistent").alias("n_records"), F.count_if(F.size("consistent") > 0).alias("n_filled")
+    )
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +105,7 @@ def p7_entries(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_key_stats, p3_found, p3_grid, p3_periods, p4_found, p4_flags, p4_impossible, p6_found, p6_changes, p6_consistent, p7_found, p7_templates, p7_entries)
+    for f in (p1_found, p1_key_stats, p3_found, p3_grid, p3_periods, p4_found, p4_flags, p4_impossible, p6_found, p6_changes, p6_steps, p6_consistent, p6_kept, p7_found, p7_templates, p7_entries)
 }
 
 _KEYS = """
@@ -119,7 +131,45 @@ n as (select series_key, k, count(distinct t) as readings from r group by series
 g as (select series_key, any_value(s) as s, unnest(generate_series(min(k), max(k))) as k from r group by series_key)
 """
 
+_RECORDS = """
+with r as (
+  select 'log_wal' as origin, stream, file_no, case when json_type(entry, '$.Log') = 'OBJECT' then coalesce(case when json_type(entry, '$.Log.fields') = 'OBJECT' then json_extract(entry, '$.Log.fields') end, '{}'::json) end as fields
+  from (select stream, file_no, case when json_valid(entry) then entry end as entry from log_wal)
+  union all
+  select 'log_messages', stream, file_no, case when fields is not null then to_json(fields) end from log_messages)
+"""
+_FIELDS = (
+    _RECORDS
+    + """, k as (
+  select origin, stream, file_no, k, json_extract(fields, '$."' || k || '"') as v
+  from (select origin, stream, file_no, fields, unnest(json_keys(fields)) as k from r where fields is not null)),
+t as (
+  select origin, stream, file_no, k,
+         case json_type(v) when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'HUGEINT' then 'integer' when 'DOUBLE' then 'decimal'
+                           when 'VARCHAR' then 'text' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' end as type
+  from k),
+n as (select origin, stream, file_no, count(*) as n from r where fields is not null group by all),
+p as (select origin, stream, file_no, lead(file_no) over (partition by origin, stream order by file_no) as later from n),
+c as (select origin, stream, file_no, k, type, count(*) as m from t group by origin, stream, file_no, k, type),
+e as (select origin, stream, file_no, k, sum(m) as every, arg_max(type, (m, type)) filter (type is not null) as type from c group by origin, stream, file_no, k),
+f as (select e.* from e join n using (origin, stream, file_no) where e.every * 20 >= n.n)
+"""
+)
+
 ORACLES = {
+    "p6_kept": _RECORDS
+    + """select origin, stream, file_no, count(*)::bigint as n_rows, count(fields)::bigint as n_records, count(*) filter (fields is not null and len(json_keys(fields)) > 0)::bigint as n_filled
+from r group by origin, stream, file_no""",
+    "p6_steps": _FIELDS
+    + """select distinct stream, file_no, change, field from (
+  select p.stream, p.later as file_no, 'removed' as change, f.k as field from f join p using (origin, stream, file_no) where p.later is not null
+    and not exists (select 1 from f g where g.origin = p.origin and g.stream = p.stream and g.file_no = p.later and g.k = f.k)
+  union all
+  select p.stream, p.later, 'added', g.k from f g join p on g.origin = p.origin and g.stream = p.stream and g.file_no = p.later
+    where not exists (select 1 from f where f.origin = p.origin and f.stream = p.stream and f.file_no = p.file_no and f.k = g.k)
+  union all
+  select p.stream, p.later, 'retyped', f.k from f join p using (origin, stream, file_no)
+    join f g on g.origin = p.origin and g.stream = p.stream and g.file_no = p.later and g.k = f.k where f.type <> g.type)""",
     "p1_found": _KEYS
     + """select key_kind, key_value from s
 where "rows" * 100 >= 8 * (select count(*) from metric_wal) and key_kind <> 'service'

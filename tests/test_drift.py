@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stratalog.operators import drift
-from stratalog.operators.drift import assign, edit_script, schema_changes, schema_profiles, tree_of, with_moves
+from stratalog.operators.drift import assign, edit_script, schema_changes, schema_profiles, tree_of
 
 WAL = "wal_id long, stream string, file_no int, line_no int, entry string, path string, n int"
 
@@ -83,7 +83,7 @@ def test_nested_changes_and_moves(spark):
 
 def test_script_of_equal_trees_is_empty():
     rows = [("", "record", "", 10), ("a", "text", "x", 10), ("b", "object", "c", 10), ("b\u0001c", "integer", "d1", 10)]
-    assert with_moves(edit_script(tree_of(rows), tree_of(rows))) == []
+    assert edit_script(tree_of(rows), tree_of(rows)) == []
 
 
 def test_consistent_table_follows_renames(spark):
@@ -97,6 +97,36 @@ def test_consistent_table_follows_renames(spark):
     assert got == {("s", 1, (("machine", "box-1"),)), ("s", 2, (("machine", "box-2"),)), ("s", 3, (("machine", "box-3"),)), ("s", 3, None), ("t", 1, (("host", "box-9"),))}
 
 
+def test_moves_compete_with_renames():
+    base = [("", "record", "", 10), ("at", "object", "x", 10), ("at\u0001x", "integer", "d1", 10)]
+    one = [*base, ("unit", "text", "kb", 10), ("size", "text", "kb", 10)]
+    two = [*base, ("at\u0001unit", "text", "kb", 10), ("length", "text", "kb", 10)]
+    script = {(e.change, e.old, e.new) for e in edit_script(tree_of(one), tree_of(two))}
+    # renaming unit to length would cost as much as renaming size, but leave a removal and an addition
+    assert script == {("moved", ("unit",), ("at", "unit")), ("renamed", ("size",), ("length",))}
+
+
+def test_projections_take_nested_names_moves_and_types(spark):
+    files = {
+        ("s", 1): [_entry({"geo": {"lat": 1.5, "lon": i}, "unit": "kB", "took": i, "tags": ["a", 1.50]}) for i in range(9)],
+        ("s", 2): [_entry({"geo": {"lat": 1.5, "lng": i, "unit": "kB"}, "took": i + 0.5, "tags": []}) for i in range(9)],
+        ("s", 3): [_entry({"pos": {"lat": 1.5, "lng": i, "unit": "kB"}, "took": str(i), "tags": []}) for i in range(9)],
+        ("s", 4): [_entry({"pos": {"lat": 1.5, "lng": i, "unit": "kB"}, "took": i if i else "x", "tags": []}) for i in range(9)],
+        ("t", 1): ["torn {", None, _entry({"took": 1})],
+    }
+    df = _wal(spark, files)
+    changes = schema_changes(schema_profiles(df, "w", "stream", "file_no", "entry", True))
+    out = drift.consistent_table(drift.flat_records(df, "entry"), "w", F.col("fields"), changes).collect()
+    rows = {(r["stream"], r["file_no"], r["wal_id"]): r for r in out}
+    assert len(out) == len(rows) == 39
+    assert rows["s", 1, 3]["consistent"] == {"pos.lat": "1.5", "pos.lng": "3", "pos.unit": "kB", "took": "3", "tags": '["a", 1.5]'}
+    assert rows["s", 2, 3]["consistent"] == {"pos.lat": "1.5", "pos.lng": "3", "pos.unit": "kB", "took": "3.5", "tags": "[]"}
+    assert drift.flat_fields('{"Log": {"fields": {"a": [1.50, {"b": null}], "c": {}}}}') == {"a": '[1.50, {"b": null}]', "c": "{}"}
+    assert rows["s", 2, 3]["unfit"] == ["took"] and rows["s", 1, 3]["unfit"] == []
+    assert rows["s", 3, 3]["consistent"]["took"] == "3" and rows["s", 4, 0]["consistent"]["took"] == "x"
+    assert [rows["t", 1, i]["consistent"] for i in range(3)] == [None, None, {"took": "1"}]
+
+
 def test_empty_tables_and_null_places(spark):
     assert schema_changes(schema_profiles(spark.createDataFrame([], WAL), "w", "stream", "file_no", "entry", True)).count() == 0
     rows = [(1, None, 1, 1, _entry({"a": 1}), "", 0), (2, "s", None, 1, _entry({"a": 1}), "", 0)]
