@@ -1,11 +1,12 @@
 """Occurrences and records of every term, by last-seen counters.
 
-Records are hash-partitioned by their identifier and sorted by it, so all copies of a record are
-neighbours. A task walks its records in that order and keeps three numbers a term: occurrences,
-records and the identifier of the last record that had it; a record counts only where it differs
-from the last one, so no set of records per term, or of terms per record, is ever kept. As the
-records of tasks are disjoint, their counters add up; a term that every record has is counted in all
-tasks alike and meets once a task, not once a row, in the merge.
+A task walks records in order and keeps three numbers a term: occurrences, records and the identifier
+of the last record that had it; a record counts only where it differs from the last one, so no set of
+records per term, or of terms per record, is ever kept. Records of a single row are counted where they
+are read. Those that come more than once are told by a bitmap of hashes of fixed size, hash-partitioned
+and sorted by record, so all their copies are neighbours. As the records of tasks are disjoint, their
+counters add up; a term that every record has is counted in all tasks alike and meets once a task, not
+once a row, in the merge.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.functions.analysis import tokens
+from stratalog.session import cut
 
+#: the bitmap of records that come more than once has 2 ** BITS bits; where it is full, all rows are partitioned by record
+BITS = 26
 COUNTS = "origin string, term string, occurrences bigint, records bigint"
 
 
@@ -115,14 +119,22 @@ def term_frequencies(df: DataFrame, record: str, terms: dict[str, Column], most:
     but are one record. A row without an identifier is a record of its own. Null and empty arrays have no
     terms, an empty table gives no rows. A task hands on its counters when it holds over ``most``.
     """
-    alone = F.lit(-1).cast("bigint") - F.monotonically_increasing_id()
-    # rows travel as they are, which is a third of the size of their terms
-    spread = df.withColumn("__record", F.coalesce(F.col(record).cast("bigint"), alone)).repartition("__record")
-    rows = spread.select("__record", *[c.alias(o) for o, c in terms.items()])
-    rows = rows.withColumn("__content", F.xxhash64(*terms)).select("__record", "__content", *terms)
-    ordered = rows.sortWithinPartitions("__record", "__content")
-    partial = ordered.mapInArrow(lambda batches: _count(batches, most), COUNTS)
-    return partial.groupBy("origin", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    named = df.withColumn("__record", F.col(record).cast("bigint"))
+    place = F.pmod(F.xxhash64("__record"), F.lit(1 << BITS))
+    twice = named.filter("__record is not null").groupBy("__record").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    words = twice.select(F.floor(place / 64).cast("bigint").alias("__word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(__record), 64) as int))").alias("bit"))
+    bitmap = cut(words.groupBy("__word").agg(F.bit_or("bit").alias("__bits")))  # at most 2 ** BITS / 64 rows, so it is safe to broadcast
+    again = (F.coalesce("__bits", F.lit(0)).bitwiseAND(F.expr("shiftleft(1L, cast(pmod(xxhash64(__record), 64) as int))")) != 0) & F.col("__record").isNotNull()
+    marked = named.withColumn("__word", F.floor(place / 64).cast("bigint")).join(F.broadcast(bitmap), "__word", "left")
+
+    def count(rows: DataFrame, content: Column) -> DataFrame:
+        rows = rows.select("__record", *[c.alias(o) for o, c in terms.items()]).withColumn("__content", content)
+        return rows.select("__record", "__content", *terms)
+
+    single = count(marked.filter(~again).withColumn("__record", F.monotonically_increasing_id()), F.lit(0).cast("bigint"))
+    copies = count(marked.filter(again).repartition("__record"), F.xxhash64(*terms)).sortWithinPartitions("__record", "__content")
+    partial = [rows.mapInArrow(lambda batches: _count(batches, most), COUNTS) for rows in (single, copies)]
+    return partial[0].unionByName(partial[1]).groupBy("origin", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def marked_terms(df: DataFrame, record: str, terms: dict[str, Column], rare: int = 2, common: float = 0.1) -> DataFrame:
