@@ -3,17 +3,19 @@
 A vector is a frame of points: label_key, labels, ts, value. Aggregations fold all points of a group
 (all of them without ``by`` or ``without``), range functions those of a series; the time of what they
 give is the evaluation time. Binary operators between vectors pair the points of equal label sets by
-position in time, or by equal time with ``pairing='time'``; comparisons give 1 or 0.
+position in time, or by equal time with ``pairing='time'``; comparisons give 1 or 0. A subquery gives every
+point to all steps it serves, under a label of its own, and computes all steps at once.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +25,10 @@ from stratalog.plans import promql as ast
 from stratalog.plans.promql import ExpressionError
 from stratalog.schema import label_key
 
+#: the label that holds the step of a subquery while it is computed
+STEP = "\u0001step"
+#: how long a point stands for the value of its series
+LOOKBACK_S = 300.0
 COLUMNS = ["label_key", "labels", "ts", "value"]
 
 
@@ -89,6 +95,59 @@ def _rises(a: Column, b: Column) -> Column:
     return F.when(b >= a, b - a).otherwise(b)
 
 
+def at_ranks(df: DataFrame, share: Column | float, ranks: Callable[[Column], list[Column]], small: int = 100_000) -> DataFrame:
+    """Values of stated ranks (from 1) of every series: label_key, labels, n, found (null beyond the last).
+
+    ``ranks`` gives them from the number of points; they lie near ``share``, a constant. A first pass brackets
+    them by a mergeable sketch, a second counts what is below the bracket and keeps what is inside: a
+    thousandth of the points of a series of more than ``small``, and all of a smaller one.
+    """
+    share = share if isinstance(share, Column) else F.lit(share)
+    near = F.array(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share - 5e-4)), F.least(F.lit(1.0), F.greatest(F.lit(0.0), share + 5e-4)))
+    sketch = df.groupBy("label_key").agg(F.first("labels").alias("__labels"), F.count(F.lit(1)).alias("__n"), F.percentile_approx("value", near, 10_000).alias("__near"))
+    value, large = F.col("value"), F.col("__n") > small
+    under = large & (value < F.get("__near", F.lit(0)))
+    inside = ~large | ((value >= F.get("__near", F.lit(0))) & (value <= F.get("__near", F.lit(1))))
+    kept = df.select("label_key", "value").join(sketch, "label_key").groupBy("label_key").agg(
+        F.first("__labels").alias("labels"), F.first("__n").alias("n"), F.count_if(under).alias("__under"), F.array_sort(F.collect_list(F.when(inside, value))).alias("__kept")
+    )
+    at = [F.when(r <= F.col("n"), F.get("__kept", (r - F.col("__under") - 1).cast("int"))) for r in (x.cast("bigint") for x in ranks(F.col("n")))]
+    return kept.select("label_key", "labels", "n", F.array(*at).alias("found"))
+
+
+def _smoothed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forecasts of whole days, in one walk over the points of each, from the state the day begins with."""
+    for b in batches:
+        values, level, trend, first, last, alpha, beta = (b.column(i).to_pylist() for i in range(3, 10))
+        out = []
+        for v, l, t, is_first, is_last, x, y in zip(values, level, trend, first, last, alpha, beta):
+            done = [l + t] if is_first else []
+            for p in v[1:] if is_first else v:
+                before, l = l, x * p + (1 - x) * (l + t)
+                t = y * (l - before) + (1 - y) * t
+                done.append(l + t)
+            if is_last:
+                done[-1] = v[-1] + t
+            out.append(done)
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.list_(pa.float64()))], ["label_key", "labels", "ts", "value"])
+
+
+def _keeping_steps(tree: object) -> object:
+    """A tree whose clauses keep the label of a subquery's step."""
+    if isinstance(tree, ast.Aggregation):
+        by = tree.by if tree.by is not None or tree.without is not None else ()
+        return replace(tree, of=_keeping_steps(tree.of), by=(*by, STEP) if by is not None else None)
+    if isinstance(tree, ast.Binary):
+        return replace(tree, left=_keeping_steps(tree.left), right=_keeping_steps(tree.right), on=(*tree.on, STEP) if tree.on is not None else None)
+    if isinstance(tree, ast.Negative):
+        return replace(tree, of=_keeping_steps(tree.of))
+    if isinstance(tree, ast.Call):
+        if tree.name in ("time", "scalar", "absent", "absent_over_time", "vector", "predict_linear"):
+            raise ExpressionError(f"{tree.name} within a subquery")
+        return replace(tree, args=tuple(_keeping_steps(a) for a in tree.args))
+    return tree
+
+
 @dataclass
 class MetricEngine:
     """Compiles expressions over ``metrics`` (name, labels, ts, value).
@@ -106,6 +165,8 @@ class MetricEngine:
     pairing: str = "position"
     compat: bool = False
     approximate: bool = False
+    #: step, range and end in seconds of the subquery that is being computed
+    grid: tuple[float, float, float] | None = None
     _now: dt.datetime = field(init=False)
 
     def __post_init__(self) -> None:
@@ -136,6 +197,8 @@ class MetricEngine:
             return self._aggregate(tree)
         if isinstance(tree, ast.Call):
             return self._call(tree)
+        if isinstance(tree, ast.Subquery):
+            return self._subquery(tree)
         raise ExpressionError(f"cannot compute {tree!r}")
 
     def _one(self, value: Column) -> DataFrame:
@@ -179,12 +242,52 @@ class MetricEngine:
         if self.end is not None:
             df = df.filter(F.col("ts") <= F.lit(self.end).cast("timestamp"))
         at = F.timestamp_seconds(F.lit(s.at_s)) if s.at_s is not None else self.now
+        if self.grid is not None:
+            return self._at_steps(df, s)
         if s.range_s is not None:
             df = df.filter((F.col("ts") > at - F.expr(f"make_dt_interval(0, 0, 0, {s.range_s})")) & (F.col("ts") <= at))
         elif s.at_s is not None:
             df = df.filter(F.col("ts") <= at)
         return df.withColumn("label_key", label_key(F.col("labels"))).select(*COLUMNS)
 
+    # subqueries
+
+    def _at_steps(self, df: DataFrame, s: ast.Selector) -> DataFrame:
+        """Every point at all steps whose range it is in; without a range the last point of each series within LOOKBACK_S of a step.
+
+        A point is repeated range / step times; steps outside those of the subquery are never made.
+        """
+        if s.at_s is not None:
+            raise ExpressionError("@ within a subquery belongs to the subquery")
+        step, width, end = self.grid
+        low, high = int((end - width) // step) + 1, int(end // step)
+        reach = s.range_s if s.range_s is not None else LOOKBACK_S
+        t = _seconds(F.col("ts"))
+        first = F.greatest(F.ceil(t / step), F.lit(low))
+        last = F.least(F.ceil((t + reach) / step) - 1, F.lit(high))  # ranges are open at their start
+        df = df.filter((t > (end - width) - reach) & (t <= end))
+        steps = F.when(first <= last, F.sequence(first.cast("bigint"), last.cast("bigint")))
+        rows = df.select("*", F.explode(steps).alias("__k")).withColumn("labels", F.map_concat("labels", F.create_map(F.lit(STEP), F.col("__k").cast("string"))))
+        rows = rows.withColumn("label_key", label_key(F.col("labels")))
+        if s.range_s is not None:
+            return rows.select(*COLUMNS)
+        return rows.groupBy("label_key").agg(F.first("labels").alias("labels"), F.max(_point()).alias("p")).select("label_key", "labels", "p.ts", "p.value")
+
+    def _subquery(self, q: ast.Subquery) -> DataFrame:
+        """Points of an expression at the multiples of the step in (end - range, end], each with the time of its step."""
+        if self.grid is not None:
+            raise ExpressionError("a subquery within a subquery")
+        end = (q.at_s if q.at_s is not None else self._now.timestamp()) - q.offset_s
+        inner = replace(self, grid=(q.step_s, q.range_s, end), eval_ts=self._now)
+        out = inner.compile(_keeping_steps(q.of))
+        if isinstance(out, Scalar):
+            raise ExpressionError("a subquery of a number")
+        time = F.timestamp_micros((F.col("labels")[STEP].cast("bigint") * F.lit(q.step_s * 1e6) + F.lit(q.offset_s * 1e6)).cast("bigint"))
+        # of a step's points, where there are several, the last counts
+        last = out.withColumn("__ts", time).groupBy("label_key").agg(F.first("labels").alias("labels"), F.first("__ts").alias("ts"), F.max_by("value", F.struct("ts", "value")).alias("value"))
+        last = last.withColumn("labels", F.map_filter("labels", lambda k, _: k != STEP))
+        return last.withColumn("label_key", label_key(F.col("labels"))).select(*COLUMNS)
+
     # operators
 
     def _binary(self, b: ast.Binary) -> DataFrame | Scalar:
@@ -200,17 +303,44 @@ class MetricEngine:
             return left.withColumn("value", fn(b.op, F.col("value"), right.value.cast("double")))
         if isinstance(left, Scalar):
             return right.withColumn("value", fn(b.op, left.value.cast("double"), F.col("value")))
+        if b.many is not None:
+            return self._many_to_one(b, left, right, fn)
         keyed_l, keyed_r = self._matching(b, left), self._matching(b, right)
         if self.pairing == "time":
-            on = ["__match", "ts"]
-            other = keyed_r.select("__match", "ts", F.col("value").alias("__right"))
+            # points of one time, where a match has several, are paired in order
+            on = ["__match", "ts", "__n"]
+            order = Window.partitionBy("__match", "ts").orderBy("label_key", "value")
+            keyed_l, keyed_r = (x.withColumn("__n", F.row_number().over(order)) for x in (keyed_l, keyed_r))
         else:
             on = ["__match", "__n"]
-            keyed_l = self._number(keyed_l)
-            other = self._number(keyed_r).select("__match", "__n", F.col("value").alias("__right"))
-        joined = keyed_l.join(other, on)
+            keyed_l, keyed_r = self._number(keyed_l), self._number(keyed_r)
+        joined = keyed_l.join(keyed_r.select(*on, F.col("value").alias("__right")), on)
         return joined.select("label_key", "labels", "ts", fn(b.op, F.col("value"), F.col("__right")).alias("value"))
 
+    def _many_to_one(self, b: ast.Binary, left: DataFrame, right: DataFrame, fn: Callable) -> DataFrame:
+        """Every series of the many side with the one series that matches it, of which it takes the labels in ``include``.
+
+        Two series of the other side with one match are an error when the rows are computed.
+        """
+        many, one = (left, right) if b.many == "left" else (right, left)
+        many, one = self._matching(b, many), self._matching(b, one)
+        if self.pairing == "time":
+            on = ["__match", "ts"]
+        else:
+            on = ["__match", "__n"]
+            many, one = numbered(many, "__n"), numbered(one, "__n")
+        one = one.groupBy(*on).agg(F.count(F.lit(1)).alias("__series"), F.first("value").alias("__other"), F.first("labels").alias("__labels"))
+        joined = many.join(one, on)
+        ours, other = F.col("value"), F.when(F.col("__series") == 1, F.col("__other")).otherwise(F.raise_error(F.lit("many series match on the side of one")).cast("double"))
+        value = fn(b.op, ours, other) if b.many == "left" else fn(b.op, other, ours)
+        labels = F.col("labels")
+        if b.include:
+            named = list(b.include)
+            taken = F.map_filter("__labels", lambda k, _: k.isin(named))
+            labels = F.map_concat(F.map_filter("labels", lambda k, _: ~k.isin(named)), taken)
+        out = joined.select(labels.alias("labels"), "ts", value.alias("value"))
+        return out.withColumn("label_key", label_key(F.col("labels"))).select(*COLUMNS)
+
     @staticmethod
     def _number(df: DataFrame) -> DataFrame:
         own = df.withColumnsRenamed({"label_key": "__own"}).withColumnsRenamed({"__match": "label_key"})
@@ -266,8 +396,10 @@ class MetricEngine:
             if not 0 <= share <= 1:
                 return df.groupBy("label_key").agg(F.first("labels").alias("labels"), F.lit(-INF if share < 0 else INF).alias("value")).withColumn("ts", self.now)
             # nearest rank; the point of that value that comes first gives the time
-            exact = F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY value)")
-            ranked = df.groupBy("label_key").agg((self._sketch(value, share) if self.approximate else exact).alias("__q"))
+            if self.approximate:
+                ranked = df.groupBy("label_key").agg(self._sketch(value, share).alias("__q"))
+            else:
+                ranked = at_ranks(df, share, lambda n: [F.greatest(F.ceil(F.lit(share) * n - 1e-9), F.lit(1))]).select("label_key", F.get("found", F.lit(0)).alias("__q"))
             found = df.join(ranked, "label_key").filter(value == F.col("__q"))
             return found.groupBy("label_key").agg(F.first("labels").alias("labels"), F.min("ts").alias("ts"), F.first("value").alias("value"))
         if a.op not in folds:
@@ -360,15 +492,18 @@ class MetricEngine:
         """The value of rank round(share * n), the lowest where that is 0; NaN beyond the last."""
         if self.approximate:
             return self._over_time(df, self._sketch(F.col("value"), share))
-        values = F.array_sort(F.collect_list("value"))
-        out = self._fold(df, values.alias("__all"))
-        rank = F.greatest(F.round(share * F.size("__all")), F.lit(1)).cast("int")
-        return out.withColumn("value", F.coalesce(F.get("__all", rank - 1), F.lit(NAN))).withColumn("ts", self.now)
+        rank = lambda n: [F.greatest(F.round(share * n), F.lit(1))]
+        return at_ranks(df, share, rank).select("label_key", "labels", F.coalesce(F.get("found", F.lit(0)), F.lit(NAN)).alias("value"), self.now.alias("ts"))
 
     def _f_mad_over_time(self, df: DataFrame) -> DataFrame:
-        median = (lambda c: self._sketch(c, 0.5)) if self.approximate else (lambda c: F.percentile(c, F.lit(0.5)))
-        middle = df.groupBy("label_key").agg(median(F.col("value")).alias("__m"))
-        return self._over_time(df.join(middle, "label_key"), median(F.abs(F.col("value") - F.col("__m"))))
+        def median(df: DataFrame) -> DataFrame:
+            if self.approximate:
+                return self._fold(df, self._sketch(F.col("value"), 0.5).alias("__m"))
+            found = at_ranks(df, F.lit(0.5), lambda n: [F.ceil(n / 2), F.floor(n / 2) + 1])
+            return found.select("label_key", "labels", ((F.get("found", F.lit(0)) + F.get("found", F.lit(1))) / 2).alias("__m"))
+
+        away = df.join(median(df).select("label_key", "__m"), "label_key").withColumn("value", F.abs(F.col("value") - F.col("__m"))).drop("__m")
+        return median(away).select("label_key", "labels", self.now.alias("ts"), F.col("__m").alias("value"))
 
     def _f_changes(self, df: DataFrame) -> DataFrame:
         return neighbours(df, _differs).select("label_key", "labels", self.now.alias("ts"), F.col("total").alias("value"))
@@ -472,16 +607,9 @@ class MetricEngine:
 
         starts = folded.select("label_key", F.element_at("d", -1)["day"].alias("__end"), F.inline(F.aggregate("d", begin, over)["out"]).alias("__day", "__l", "__b", "__first"))
         joined = days.join(starts, ["label_key", "__day"])
-        smooth = F.struct(F.col("__l").alias("l"), F.col("__b").alias("b"), F.when(F.col("__first"), F.array(F.col("__l") + F.col("__b"))).otherwise(F.array().cast("array<double>")).alias("out"))
-
-        def forecast(s: Column, p: Column) -> Column:
-            level, trend = step(s, p["value"])
-            return F.struct(level.alias("l"), trend.alias("b"), F.concat(s["out"], F.array(level + trend)).alias("out"))
-
-        done = joined.withColumn("__s", F.aggregate(F.when(F.col("__first"), rest("__p")).otherwise(F.col("__p")), smooth, forecast))
-        last = F.element_at("__p", -1)["value"] + F.col("__s.b")
-        values = F.when(F.col("__day") == F.col("__end"), F.concat(F.slice("__s.out", 1, F.size("__p") - 1), F.array(last))).otherwise(F.col("__s.out"))
-        return done.select("label_key", "labels", F.inline(F.arrays_zip(F.col("__p.ts").alias("ts"), values.alias("value"))).alias("ts", "value"))
+        levels = joined.select("label_key", "labels", F.col("__p.ts").alias("ts"), F.col("__p.value").alias("value"), "__l", "__b", "__first", (F.col("__day") == F.col("__end")).alias("__last"), alpha.alias("__alpha"), beta.alias("__beta"))
+        smoothed = levels.mapInArrow(_smoothed, "label_key string, labels map<string,string>, ts array<timestamp>, value array<double>")
+        return smoothed.select("label_key", "labels", F.inline(F.arrays_zip("ts", "value")).alias("ts", "value"))
 
     def _f_sort(self, df: DataFrame) -> DataFrame:
         return df.orderBy(F.col("value").asc(), "label_key", "ts")
@@ -535,8 +663,8 @@ def label_values(metrics: DataFrame, label: str) -> DataFrame:
 
 def newest_first(vector: DataFrame) -> DataFrame:
     """Series in the order of their latest point, newest first, points in order of time."""
-    latest = Window.partitionBy("label_key")
-    return vector.withColumn("__latest", F.max("ts").over(latest)).orderBy(F.col("__latest").desc(), "label_key", "ts", "value").drop("__latest")
+    latest = vector.groupBy("label_key").agg(F.max("ts").alias("__latest"))
+    return vector.join(latest, "label_key").orderBy(F.col("__latest").desc(), "label_key", "ts", "value").select(*vector.columns)
 
 
 def unite(vectors: list[DataFrame]) -> DataFrame:

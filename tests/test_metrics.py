@@ -126,7 +126,7 @@ def test_trees():
     assert parse("a or b and c") == Binary("or", Selector("a"), Binary("and", Selector("b"), Selector("c")))
 
 
-@pytest.mark.parametrize("bad", ["", "m{", "m)", "m x", "sum(", "sum(m, 1)", "topk(m)", "m[5x]", "m[1h:5m]", "nosuch(m)", "rate(1)", "clamp(m, 1)", "m and 1", "m + group_left n", "!", "m{a~1}"])
+@pytest.mark.parametrize("bad", ["", "m{", "m)", "m x", "sum(", "sum(m, 1)", "topk(m)", "m[5x]", "rate(m)[1h]", "m[1h:5m][1h:5m]", "nosuch(m)", "rate(1)", "clamp(m, 1)", "m and 1", "m and group_left n", "!", "m{a~1}"])
 def test_bad_expressions(two, bad):
     with pytest.raises(ExpressionError):
         two.query(bad)
@@ -137,3 +137,60 @@ def test_empty_table(spark):
     for expression in ("m", "sum(m)", "rate(m)", "changes(m)", "topk(2, m)", "quantile(0.5, m)", "holt_winters(m, 0.1, 0.1)", "m + m", "m or m", "predict_linear(m, 1)"):
         assert e.query(expression).count() == 0, expression
     assert e.query("absent(m)").count() == 1
+
+
+def test_many_to_one(spark):
+    series = {
+        ("errors", (("host", "a"), ("code", "500"))): [(1, 2.0), (2, 4.0)], ("errors", (("host", "a"), ("code", "404"))): [(1, 6.0), (2, 8.0)],
+        ("errors", (("host", "c"), ("code", "404"))): [(1, 6.0)], ("total", (("host", "a"), ("team", "x"))): [(1, 10.0), (2, 20.0)],
+    }
+    for pairing in ("position", "time"):
+        engine = _engine(spark, series, pairing=pairing)
+        got = {(r["labels"]["code"], r["labels"].get("team"), r["ts"].timestamp()): r["value"] for r in engine.query("errors / on(host) group_left(team) total").collect()}
+        assert got == {("500", "x", 1.0): 0.2, ("500", "x", 2.0): 0.2, ("404", "x", 1.0): 0.6, ("404", "x", 2.0): 0.4}
+        back = {(r["labels"]["code"], r["ts"].timestamp()): r["value"] for r in engine.query("total - on(host) group_right errors").collect()}
+        assert back == {("500", 1.0): 8.0, ("500", 2.0): 16.0, ("404", 1.0): 4.0, ("404", 2.0): 12.0}
+        with pytest.raises(Exception, match="many series match"):
+            engine.query("total / on(host) group_left errors").collect()
+    with pytest.raises(ExpressionError):
+        parse("a and group_left b")
+
+
+def test_time_pairing_is_one_to_one(spark):
+    series = {("a", (("h", "1"), ("k", str(i)))): [(1, float(i))] for i in range(4)} | {("b", (("h", "1"), ("k", str(i)))): [(1, 10.0)] for i in range(3)}
+    assert _engine(spark, series, pairing="time").query("a + on(h) b").count() == 3
+
+
+def test_subqueries(spark):
+    points = [(60 * k, float(k * k)) for k in range(60)]
+    series = {("m", (("h", "1"),)): points, ("m", (("h", "2"),)): [(30.0, 5.0), (3000.0, 7.0)]}
+    engine = _engine(spark, series)
+    # NOW is 3,600 s; steps are 3,120, 3,240 ... 3,600, and a point stands for five minutes
+    got = [(r["ts"].timestamp(), r["value"]) for r in sorted(engine.query('m{h="1"}[10m:2m]').collect(), key=lambda r: r["ts"])]
+    assert got == [(3120.0, 52.0**2), (3240.0, 54.0**2), (3360.0, 56.0**2), (3480.0, 58.0**2), (3600.0, 59.0**2)]
+    got = {(r["labels"]["h"], r["ts"].timestamp()): r["value"] for r in engine.query("m[10m:2m]").collect()}
+    assert {k: v for k, v in got.items() if k[0] == "2"} == {("2", 3120.0): 7.0, ("2", 3240.0): 7.0}
+
+    def rate(t):  # over the points in (t - 300, t]
+        inside = [(x, v) for x, v in points if t - 300 < x <= t]
+        return (inside[-1][1] - inside[0][1]) / (inside[-1][0] - inside[0][0])
+
+    got = engine.query('max_over_time(rate(m{h="1"}[5m])[30m:5m])').collect()
+    assert [r["value"] for r in got] == pytest.approx([max(rate(t) for t in range(2100, 3601, 300))])
+    got = {r["ts"].timestamp(): r["value"] for r in engine.query("sum(m)[10m:5m]").collect()}
+    assert got == {3300.0: 55.0**2, 3600.0: 59.0**2}
+    late = [r["ts"].timestamp() for r in engine.query('m{h="1"}[4m:2m] offset 1h').collect()]
+    assert late == [3600.0]
+    assert parse("m[1h:]").step_s == 60 and parse("m[1h:5m]").step_s == 300 and parse("rate(m[5m])[1h:90s] offset 5m").offset_s == 300
+    for bad in ("m[1h:0s]", "rate(m)[5m]", "m[5m:1m"):
+        with pytest.raises(ExpressionError):
+            parse(bad)
+
+
+def test_ranks_of_long_series_are_exact(spark):
+    df = spark.range(30_000).selectExpr("'a' as label_key", "map('a', '1') as labels", "timestamp_seconds(id) as ts", "cast((id * 7919) % 10007 as double) as value")
+    values = sorted(r["value"] for r in df.collect())
+    for share in (0.0, 0.001, 0.5, 0.9995, 1.0):
+        rank = max(1, math.ceil(share * 30_000 - 1e-9))
+        got = metrics.at_ranks(df, share, lambda n: [metrics.F.lit(rank)], small=100).first()
+        assert got["found"] == [values[rank - 1]]
