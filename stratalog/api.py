@@ -23,7 +23,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = ship(spark)
         self.catalog = Catalog(spark, root)
-        self._names = dsl.Compiler(terms="terms")
+        self._names = dsl.Compiler(terms="terms", day="dt")
 
     def ping(self) -> str:
         return "OK" if self.spark.range(1).count() == 1 else "no session"
@@ -44,9 +44,7 @@ class Engine:
         objects = ingest.json_objects(self._bodies(bodies))
         if not isinstance(bodies, DataFrame) and objects.filter("error is not null").limit(1).count():
             raise ValueError("Invalid entry")
-        rows = ingest.with_ids(ingest.logs_of(objects), self.catalog.next_id(index))
-        self.catalog.append_logs(index, rows)
-        return rows.select("doc_id")
+        return self.catalog.append_logs(index, ingest.logs_of(objects)).select("doc_id")
 
     def append_metric(self, index: str, bodies: Any) -> None:
         self.catalog.append_metrics(index, ingest.metrics_of(ingest.json_objects(self._bodies(bodies))))
@@ -59,8 +57,7 @@ class Engine:
         names = [r["index_name"] for r in pairs.filter("error is null and action in ('index', 'create')").select("index_name").distinct().collect()]
         logs = ingest.bulk_logs(frame)
         for name in names:
-            own = logs.filter(F.col("index_name") == name)
-            self.catalog.append_logs(name, ingest.with_ids(own, self.catalog.next_id(name)))
+            self.catalog.append_logs(name, logs.filter(F.col("index_name") == name))
         counts = pairs.agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("bad")).first()
         return {"errors": counts["bad"] > 0, "items": counts["n"]}
 
@@ -71,13 +68,16 @@ class Engine:
         if not query and not q:
             raise dsl.QueryError("no query")
         body = query or dsl.url_query(q)
-        return dsl.search(self.catalog.logs(index, start, end), body, self._names)
+        needed = self._names.required(dsl.parse_body(body).query)
+        return dsl.search(self.catalog.logs(index, start, end, needed).drop("batch"), body, self._names)
 
-    def hits(self, index: str, query: str | dict | None = None, q: str | None = None, start=None, end=None) -> dict:
-        """The answer of a search as an envelope; give a size in the body for what may be large."""
+    def hits(self, index: str, query: str | dict | None = None, q: str | None = None, start=None, end=None, most: int = 100_000) -> dict:
+        """The answer of a search as an envelope; more than ``most`` hits are an error: give a size in the body, or use ``search_logs``."""
         began = dt.datetime.now()
         limit = dsl.parse_body(query).timeout_s if query else None
-        rows = self._within(limit, lambda: self.search_logs(index, query, q, start, end).collect())
+        rows = self._within(limit, lambda: self.search_logs(index, query, q, start, end).limit(most + 1).collect())
+        if len(rows) > most:
+            raise dsl.QueryError(f"more than {most} hits")
         out = [
             {"_id": r["doc_id"], "_score": 1.0, "_source": {"timestamp": int(r["ts"].timestamp() * 1000), "text": r["text"], **(r["fields"] or {})}}
             for r in rows
@@ -130,10 +130,13 @@ class Engine:
         engine = metrics.MetricEngine(self.catalog.metrics(index, start, end), eval_ts, start, end)
         return metrics.newest_first(engine.query(query))
 
-    def metric_answer(self, index: str, query: str, start=None, end=None, eval_ts: dt.datetime | None = None) -> dict:
-        """The answer of a metric query: one value for series of one point, all values else."""
+    def metric_answer(self, index: str, query: str, start=None, end=None, eval_ts: dt.datetime | None = None, most: int = 1_000_000) -> dict:
+        """The answer of a metric query: one value for series of one point, all values else; more than ``most`` points are an error."""
         series: dict[str, dict] = {}
-        for r in self.search_metrics(index, query, start, end, eval_ts).collect():
+        rows = self.search_metrics(index, query, start, end, eval_ts).limit(most + 1).collect()
+        if len(rows) > most:
+            raise metrics.ExpressionError(f"more than {most} points")
+        for r in rows:
             entry = series.setdefault(r["label_key"], {"metric": r["labels"] or {}, "values": []})
             entry["values"].append([int(r["ts"].timestamp()), str(r["value"])])
         single = all(len(s["values"]) == 1 for s in series.values())
@@ -161,6 +164,9 @@ class Engine:
             raise dsl.QueryError("no query")
         return self.catalog.delete(index, self._names.compile(parsed.query), start, end)
 
+    def flush(self, index: str = DEFAULT_INDEX) -> None:
+        self.catalog.flush(index)
+
     def apply_retention(self, index: str, days: int = 30, now: dt.datetime | None = None) -> list[str]:
         return self.catalog.retain(index, days, now or dt.datetime.now(dt.timezone.utc))
 

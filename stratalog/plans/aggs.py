@@ -92,32 +92,70 @@ def _split(spec: dict) -> tuple[str, dict, dict]:
     return kind, spec[kind], inner
 
 
+def _inner(compiler: Compiler, inner: dict) -> tuple[list[Column], dict, dict]:
+    """Metrics, pipelines and buckets among the aggregations inside a bucket."""
+    columns, later, nested = [], {}, {}
+    for n, s in inner.items():
+        k, b, _ = _split(s)
+        if k in METRICS:
+            columns += metric(compiler, k, b, n)
+        elif k in PIPELINES:
+            later[n] = (k, b)
+        else:
+            nested[n] = s
+    return columns, later, nested
+
+
+def _chosen(df: DataFrame, column: str, body: dict) -> DataFrame:
+    df = df.filter(F.col(column).isNotNull())
+    if "include" in body:
+        df = df.filter(F.col(column).isin(list(body["include"])))
+    return df.filter(~F.col(column).isin(list(body["exclude"]))) if "exclude" in body else df
+
+
+def _within(rows: DataFrame, parents: list[str], name: str, spec: dict, compiler: Compiler) -> DataFrame:
+    """The buckets of ``spec`` inside those of ``parents``: one row a parent, with an array of structs called ``name``.
+
+    Arrays hold buckets, never rows.
+    """
+    kind, body, inner = _split(spec)
+    columns, later, nested = _inner(compiler, inner)
+    if later:
+        raise QueryError("pipelines belong to the outermost buckets")
+    key = f"__key{len(parents)}"
+    keyed = _chosen(rows.withColumn(key, _bucket_key(compiler, kind, body)), key, body)
+    group = [*parents, key]
+    out = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("doc_count"), *columns)
+    for n, s in nested.items():
+        out = out.join(_within(keyed, group, n, s, compiler), group, "left")
+    if body.get("min_doc_count"):
+        out = out.filter(F.col("doc_count") >= int(body["min_doc_count"]))
+    values = [c for c in out.columns if c not in group]
+    by, how = next(iter(body.get("order", {"_count": "desc"}).items())) if kind == "terms" else ("_key", "asc")
+    first = {"_count": "doc_count", "_key": key}.get(by, by)
+    bucket = F.struct(F.col(first).alias("o"), F.col(key).alias("key"), *values)
+    less = lambda a, b: F.when(a < b, -1).when(a > b, 1)
+    order = (lambda a, b: F.coalesce(less(a["o"], b["o"]), less(a["key"], b["key"]), F.lit(0))) if how == "asc" else (lambda a, b: F.coalesce(less(b["o"], a["o"]), less(a["key"], b["key"]), F.lit(0)))
+    every = F.transform(F.array_sort(F.collect_list(bucket), order), lambda x: x.dropFields("o"))
+    return out.groupBy(*parents).agg((F.slice(every, 1, int(body["size"])) if "size" in body else every).alias(name))
+
+
 def aggregate(hits: DataFrame, spec: dict, compiler: Compiler | None = None, name: str = "value") -> DataFrame:
     """One aggregation over hits.
 
-    Metrics give one row. Buckets give key and doc_count with the metrics inside as columns, then pipelines
-    over them: ``cumulative_sum`` and ``moving_avg`` add a column, in order of key. ``avg_bucket`` and ``sum_bucket``
+    Metrics give one row. Buckets give key and doc_count with the metrics inside as columns, buckets inside as
+    arrays of structs (key, doc_count and what is inside them, in their order), then pipelines over them: ``cumulative_sum`` and ``moving_avg`` add a column, in order of key. ``avg_bucket`` and ``sum_bucket``
     beside them are given by ``pipeline``. An empty metric is null, except sums and counts.
     """
     compiler = compiler or Compiler()
     kind, body, inner = _split(spec)
     if kind in METRICS:
         return hits.agg(*metric(compiler, kind, body, name))
-    keyed = hits.withColumn("key", _bucket_key(compiler, kind, body)).filter(F.col("key").isNotNull())
-    if "include" in body:
-        keyed = keyed.filter(F.col("key").isin(list(body["include"])))
-    if "exclude" in body:
-        keyed = keyed.filter(~F.col("key").isin(list(body["exclude"])))
-    columns, later = [], {}
-    for n, s in inner.items():
-        k, b, _ = _split(s)
-        if k in METRICS:
-            columns += metric(compiler, k, b, n)
-        elif k in PIPELINES:
-            later[n] = (k, b)
-        else:
-            raise QueryError("buckets inside buckets are not supported")
+    keyed = _chosen(hits.withColumn("key", _bucket_key(compiler, kind, body)), "key", body)
+    columns, later, nested = _inner(compiler, inner)
     out = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("doc_count"), *columns)
+    for n, s in nested.items():
+        out = out.join(_within(keyed, ["key"], n, s, compiler), "key", "left")
     least = int(body.get("min_doc_count", 0))
     if least:
         out = out.filter(F.col("doc_count") >= least)

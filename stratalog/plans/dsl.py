@@ -8,7 +8,6 @@ filters drop it by themselves, so leaves stay plain and can be pushed into scans
 from __future__ import annotations
 
 import base64
-import itertools
 import json
 import math
 import re
@@ -78,12 +77,14 @@ class Compiler:
 
     ``columns`` maps field names to real columns (hot fields); other names are looked up in the map
     ``fields``. With ``strict``, should clauses are optional beside must or filter clauses, else the
-    documents of must and should are united. ``terms`` names a stored array of terms, if there is one.
+    documents of must and should are united. ``terms`` names a stored array of terms, and ``day`` a column
+    with the day of ts that the data are partitioned by, if there are such.
     """
 
     columns: dict[str, Column] = field(default_factory=dict)
     strict: bool = False
     terms: str | None = None
+    day: str | None = None
 
     def value(self, name: str) -> Column:
         """A field as text."""
@@ -103,6 +104,30 @@ class Compiler:
         value = F.lower(self.value(name)) if lower else self.value(name)
         return value.contains(token) & F.array_contains(self._tokens(name, lower), token)
 
+    def required(self, query: dict | None) -> list[str]:
+        """Stored terms that every hit of a query must have; none where that can't be told."""
+        if not query or not self.terms:
+            return []
+        kind, body = _single(query)
+        if kind == "term":
+            name, spec = _single(body)
+            spec = spec if isinstance(spec, dict) else {"value": spec}
+            if name not in TEXT_FIELDS and not spec.get("case_insensitive", False):
+                return [f"{name}~{t}" for t in query_tokens(str(spec["value"]))]
+            return query_tokens(str(spec["value"]), True) if name in TEXT_FIELDS else []
+        if kind == "match":
+            name, spec = _single(body)
+            spec = spec if isinstance(spec, dict) else {"query": spec}
+            found = query_tokens(str(spec["query"]), True)
+            every = str(spec.get("operator", "OR")).upper() == "AND" or len(found) == 1
+            return found if every and name in TEXT_FIELDS else []
+        if kind == "constant_score":
+            return self.required(body["filter"])
+        if kind == "bool" and (self.strict or "should" not in body):
+            parts = [x for k in ("must", "filter") for x in (body.get(k, []) if isinstance(body.get(k, []), list) else [body[k]])]
+            return sorted({t for q in parts for t in self.required(q)})
+        return []
+
     def compile(self, query: dict) -> Column:
         kind, body = _single(query)
         if kind in UNSUPPORTED:
@@ -179,7 +204,8 @@ class Compiler:
 
     def _q_more_like_this(self, body: dict) -> Column:
         like = body["like"] if isinstance(body["like"], list) else [body["like"]]
-        found = sorted({t for x in like for t in query_tokens(str(x), True)})[: int(body.get("max_query_terms", 25))]
+        found = sorted({t for x in like for t in query_tokens(str(x), True)})  # all of them, unless a number is asked for
+        found = found[: int(body["max_query_terms"])] if "max_query_terms" in body else found
         least = str(body.get("minimum_should_match", "30%"))
         need = math.ceil(len(found) * float(least[:-1]) / 100) if least.endswith("%") else int(least)
         parts = [
@@ -198,21 +224,23 @@ class Compiler:
             start, value = start.lower(), F.lower(value)
         return value.startswith(start)
 
-    def _by_regex(self, name: str, pattern: str, lower: bool) -> Column:
-        flags = "(?i)" if lower else ""
+    def _by_regex(self, name: str, pattern: str, spec: dict) -> Column:
+        flags = "(?i)" if spec.get("case_insensitive", False) else ""
+        if spec.get("whole_value", False):
+            return self.value(name).rlike(f"{flags}(?:{pattern})")
         head = "" if name in TEXT_FIELDS else "^"  # field terms carry their name in front
         return F.exists(self._tokens(name, False), lambda t: t.rlike(f"{flags}{head}(?:{pattern})"))
 
     def _q_regexp(self, body: dict) -> Column:
         name, spec = _single(body)
         spec = spec if isinstance(spec, dict) else {"value": spec}
-        return self._by_regex(name, str(spec["value"]), bool(spec.get("case_insensitive", False)))
+        return self._by_regex(name, str(spec["value"]), spec)
 
     def _q_wildcard(self, body: dict) -> Column:
         name, spec = _single(body)
         spec = spec if isinstance(spec, dict) else {"value": spec}
         pattern = str(spec.get("value", spec.get("wildcard", "")))
-        return self._by_regex(name, wildcard_regex(pattern), bool(spec.get("case_insensitive", False)))
+        return self._by_regex(name, wildcard_regex(pattern), spec)
 
     # other values
 
@@ -224,6 +252,9 @@ class Compiler:
             value, wrap = (F.col("doc_id") if name in ("doc_id", "_id") else self.value(name).try_cast("double")), F.lit
         tests = {"gte": value.__ge__, "gt": value.__gt__, "lte": value.__le__, "lt": value.__lt__}
         parts = [tests[op](wrap(v)) for op, v in spec.items() if op in tests]
+        if self.day and value is not None and name in ("ts", "timestamp", "date", "time"):
+            days = {"g": F.col(self.day).__ge__, "l": F.col(self.day).__le__}
+            parts += [days[op[0]](F.to_date(wrap(v))) for op, v in spec.items() if op in tests]
         if not parts:
             raise QueryError("a range without bounds")
         return _all(parts)
@@ -260,25 +291,51 @@ class Compiler:
     def _near(self, name: str, words: list[str], gaps: int, ordered: bool) -> Column:
         """Whether the words stand in the field with at most ``gaps`` other terms among them."""
         found = self._tokens(name, True)
-        at = lambda w: F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: F.element_at(found, i) == w)
-
-        def run(order: tuple[str, ...]) -> Column:
-            def later(w: str, than: Column) -> Column:
-                return F.array_min(F.filter(at(w), lambda i: i > than))
-
-            def end(start: Column) -> Column:
-                return reduce(lambda last, w: later(w, last), order[1:], start)
-
-            return F.exists(at(order[0]), lambda s: end(s) - s + 1 - len(order) <= gaps)
-
         words = [w.lower() for w in words]
         if not words:
             return F.lit(False)
-        orders = [tuple(words)] if ordered else sorted(set(itertools.permutations(words)))
-        if len(orders) > 120:
-            raise UnsupportedQuery("more than five words in any order")
-        # without terms the sequence would run backwards
-        return (F.size(found) > 0) & _any([run(o) for o in orders])
+        every = _all([self.has_token(name, w, True) for w in sorted(set(words))])  # spares most rows the walk
+        return every & (self._in_order(found, words, gaps) if ordered else self._gathered(found, words, gaps))
+
+    @staticmethod
+    def _in_order(found: Column, words: list[str], gaps: int) -> Column:
+        """Whether the words come in this order with at most ``gaps`` other terms among them.
+
+        One walk over the terms, which keeps for every word the latest place at which a chain up to it began.
+        """
+        n = len(words)
+        start = F.struct(F.lit(0).alias("i"), F.lit(False).alias("met"), *[F.lit(-1).alias(f"s{k}") for k in range(n)])
+
+        def step(s: Column, t: Column) -> Column:
+            before = [s["i"], *[s[f"s{k}"] for k in range(n - 1)]]
+            chains = [F.when(t == w, before[k]).otherwise(s[f"s{k}"]).alias(f"s{k}") for k, w in enumerate(words)]
+            closes = (t == words[-1]) & (before[-1] >= 0) & (s["i"] - before[-1] + 1 - n <= gaps)
+            return F.struct((s["i"] + 1).alias("i"), (s["met"] | closes).alias("met"), *chains)
+
+        return F.aggregate(found, start, step, lambda s: s["met"])
+
+    @staticmethod
+    def _gathered(found: Column, words: list[str], gaps: int) -> Column:
+        """Whether some run of terms holds all words, each as often as it is asked for, and at most ``gaps`` others.
+
+        One walk over the terms, which keeps the last places of every word: a run that ends here is shortest from
+        the earliest of them on.
+        """
+        need = sorted({w: words.count(w) for w in words}.items())
+        places = F.struct(*[F.array_repeat(F.lit(-1), n).alias(f"w{k}") for k, (_, n) in enumerate(need)])
+        start = F.struct(F.lit(0).alias("i"), F.lit(False).alias("met"), places.alias("at"))
+
+        def step(s: Column, t: Column) -> Column:
+            at = [F.when(t == w, F.concat(F.slice(s["at"][f"w{k}"], 2, n - 1) if n > 1 else F.array().cast("array<int>"), F.array(s["i"]))).otherwise(s["at"][f"w{k}"]) for k, (w, n) in enumerate(need)]
+            return F.struct((s["i"] + 1).alias("i"), s["met"].alias("met"), F.struct(*[a.alias(f"w{k}") for k, a in enumerate(at)]).alias("at"))
+
+        def close(s: Column) -> Column:
+            first = [s["at"][f"w{k}"][0] for k in range(len(need))]
+            low = F.least(*first) if len(first) > 1 else first[0]
+            return F.struct(s["i"].alias("i"), (s["met"] | ((low >= 0) & (s["i"] - low - len(words) <= gaps))).alias("met"), s["at"].alias("at"))
+
+        # terms of other words cannot end a shortest run, but the test is cheap
+        return F.aggregate(found, start, lambda s, t: close(step(s, t)), lambda s: s["met"])
 
     def _q_intervals(self, body: dict) -> Column:
         name, spec = _single(body)

@@ -74,6 +74,8 @@ _search("log_match_field", _documents, _q({"match": {"author": {"query": "[Delet
 _search("log_match_phrase", _documents, _q({"match_phrase": {"text": "weak point"}}), f"contains(text, 'weak point') and {_has('text', 'weak')} and {_has('text', 'point')}")
 _search("log_prefix", _documents, _q({"prefix": {"source": "forum/w"}}), "starts_with(source, 'forum/w')")
 _search("log_prefix_ci", _documents, _q({"prefix": {"source": {"value": "FORUM/W", "case_insensitive": True}}}), "starts_with(lower(source), 'forum/w')")
+_search("log_regexp_whole", _documents, _q({"regexp": {"source": {"value": "m/w.*s?", "whole_value": True}}}), "regexp_matches(source, 'm/w.*s?')")
+_search("log_wildcard_whole", _documents, _q({"wildcard": {"author": {"value": "t_?*r", "whole_value": True}}}), "regexp_matches(author, 't_..*r')")
 _search("log_match_phrase_prefix", _documents, _q({"match_phrase_prefix": {"text": "There is a good way"}}), "contains(text, 'There is a good way')")
 _search("log_match_phrase_prefix_one", _documents, _q({"match_phrase_prefix": {"text": "Thank"}}), "starts_with(text, 'Thank')")
 _search("log_regexp", _documents, _q({"regexp": {"source": "(work|boat).*d?"}}), f"len(list_filter({_tok('source', False)}, lambda t: regexp_matches(t, '^(?:(work|boat).*d?)'))) > 0")
@@ -152,6 +154,12 @@ QUERIES |= {f.__name__: f for f in (log_time_range, log_delete_by_query, log_hig
 ORACLES |= {
     "log_time_range": "select event_id as doc_id from events where ts between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-09 12:00:00'",
     "log_delete_by_query": "select event_id as doc_id from events where event_type <> 'error'",
+    "log_highlight": f"""select doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'),
+  lambda x: case when lower(x) in ('kiln', 'oven') then '<em>' || x || '</em>' else x end), '') as highlight
+from documents where {_has('text', 'kiln')} and {_has('text', 'oven')}""",
+    "log_hits": """select '{"_id":' || event_id || ',"_score":1.0,"_source":{"timestamp":' || epoch_us(ts) // 1000 || ',"text":' || to_json(concat_ws(' ', event_type, props))
+  || ',"fields":{"event_type":"' || event_type || '","user_id":"' || user_id || '"' || coalesce(',"k":"' || json_extract_string(props, '$.k') || '"', '') || coalesce(',"value":"' || value::varchar || '"', '') || '}}}' as hit
+from events where event_type = 'signup'""",
 }
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.api import Engine
 from stratalog.plans import dsl
-from stratalog.session import checkpoint_folder, table
+from stratalog.session import application_folder, table
 from stratalog.sources import adapters, ingest, store
 from stratalog.streaming import ingest as streaming
 
@@ -57,10 +59,158 @@ def bulk_ingest(spark: SparkSession, d: str) -> DataFrame:
     return logs.select("request", "index_name", F.col("fields")["id"].cast("bigint").alias("event_id"))
 
 
-def retention_filter(spark: SparkSession, d: str) -> DataFrame:
-    """What a retention of ten days keeps on 31 January."""
+def _catalog(spark: SparkSession) -> store.Catalog:
+    """Indices of an application in the checkpoint folder; they go when its driver ends."""
+    return store.Catalog(spark, f"{application_folder(spark)}/indices-{uuid.uuid4().hex}")
+
+
+def _engine(spark: SparkSession, d: str, parts: int = 1) -> Engine:
+    """An engine whose index ``events`` holds the events, appended in parts."""
+    engine = Engine(spark, _catalog(spark).root)
     logs = adapters.logs_from_events(table(spark, d, "events"))
-    return logs.filter(F.col("ts") >= F.lit("2024-01-21 00:00:00").cast("timestamp")).select("doc_id")
+    for k in range(parts):
+        engine.catalog.append_logs("events", logs.filter(F.pmod("doc_id", F.lit(parts)) == k))
+    return engine
+
+
+def _metrics_engine(spark: SparkSession, d: str) -> Engine:
+    engine = Engine(spark, _catalog(spark).root)
+    rows = table(spark, d, "events").filter("value is not null")
+    body = F.to_json(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("date"), F.struct("event_type", F.col("user_id").cast("string").alias("user_id")).alias("labels"), F.col("value").alias("event_value")))
+    engine.append_metric("events", rows.select(body.alias("body")))
+    return engine
+
+
+def retention_filter(spark: SparkSession, d: str) -> DataFrame:
+    """What a retention of ten days leaves in an index on 31 January."""
+    engine = _engine(spark, d)
+    engine.apply_retention("events", 10, dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc))
+    return engine.catalog.logs("events").select("doc_id")
+
+
+def retention_days(spark: SparkSession, d: str) -> DataFrame:
+    """The folders that a retention of ten days removes."""
+    gone = _engine(spark, d).apply_retention("events", 10, dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc))
+    return spark.createDataFrame([(x,) for x in gone], "folder string")
+
+
+def append_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of two appends: without gaps, those of the second after those of the first."""
+    engine = Engine(spark, _catalog(spark).root)
+    events = table(spark, d, "events")
+    body = F.to_json(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("date"), F.col("event_id").cast("string").alias("id")))
+    for k in range(2):
+        engine.append_log("events", events.filter(F.col("event_id") % 2 == k).select(body.alias("body")))
+    found = engine.catalog.logs("events")
+    return found.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"), F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"),
+        F.max(F.when(F.col("fields")["id"].cast("bigint") % 2 == 0, F.col("doc_id"))).alias("last_of_first"),
+    )
+
+
+def append_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Points as an index holds them after they were appended as JSON."""
+    found = _metrics_engine(spark, d).catalog.metrics("events")
+    return _ntz(found.select("name", F.col("labels")["event_type"].alias("event_type"), F.col("labels")["user_id"].alias("user_id"), "ts", "value"), "ts")
+
+
+def compact_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Series of an index after its files were merged."""
+    engine = _metrics_engine(spark, d)
+    engine.compact("events")
+    return engine.catalog.metrics("events").groupBy(F.col("labels")["event_type"].alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+def index_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Indices that are there after some were made, filled and removed."""
+    engine = Engine(spark, _catalog(spark).root)
+    for name in ("default", "a", "b"):
+        engine.create_index(name)
+    engine.catalog.append_logs("c", adapters.logs_from_events(table(spark, d, "events")))
+    engine.flush("c")
+    engine.delete_index("b")
+    return spark.createDataFrame([(n,) for n in engine.catalog.indices()], "name string")
+
+
+def metric_search(spark: SparkSession, d: str) -> DataFrame:
+    """Series of a stored index, the newest first, with their place in that order."""
+    vector = _metrics_engine(spark, d).search_metrics("events", 'event_value{event_type="purchase"}', eval_ts=dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc))
+    rows = vector.groupBy("label_key").agg(F.max("ts").alias("latest"), F.count(F.lit(1)).alias("points"))
+    return _ntz(rows, "latest")
+
+
+def metric_answer(spark: SparkSession, d: str) -> DataFrame:
+    """The answer of a metric query as its envelope shows it."""
+    answer = _metrics_engine(spark, d).metric_answer("events", "sum by (event_type) (event_value)", eval_ts=dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc))
+    rows = [(answer["status"], answer["data"]["resultType"], x["metric"]["event_type"], x["value"][0], round(float(x["value"][1]), 6)) for x in answer["data"]["result"]]
+    return spark.createDataFrame(rows, "status string, kind string, event_type string, seconds bigint, total double")
+
+
+def hits_envelope(spark: SparkSession, d: str) -> DataFrame:
+    """The answer of a search with a time limit, as its envelope shows it."""
+    answer = _engine(spark, d).hits("events", {"query": {"term": {"event_type": "signup"}}, "timeout": "600s"})
+    total = answer["hits"]["total"]
+    rows = [(answer["timed_out"], total["value"], total["relation"], h["_id"], h["_score"], h["_source"]["timestamp"], h["_source"]["text"], h["_source"]["user_id"]) for h in answer["hits"]["hits"]]
+    return spark.createDataFrame(rows, "timed_out boolean, total bigint, relation string, id bigint, score double, ms bigint, text string, user_id string")
+
+
+def engine_aggregations(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregation section with buckets inside buckets and a pipeline beside them."""
+    out = _engine(spark, d).aggregate(
+        "events",
+        {
+            "query": {"terms": {"event_type": ["click", "view", "purchase"]}},
+            "aggs": {
+                "kinds": {"terms": {"field": "event_type"}, "aggs": {"days": {"date_histogram": {"calendar_interval": "week"}, "aggs": {"mean": {"avg": {"field": "value"}}}}}},
+                "every": {"sum_bucket": {"buckets_path": "kinds>_count"}},
+            },
+        },
+    )
+    every = out["every"].first()[0]
+    weeks = out["kinds"].select(F.col("key").alias("event_type"), F.col("doc_count").alias("in_kind"), F.explode("days").alias("w"))
+    return _ntz(weeks.select("event_type", "in_kind", F.col("w.key").alias("week"), F.col("w.doc_count").alias("in_week"), F.round("w.mean", 6).alias("mean"), F.lit(every).alias("every")), "week")
+
+
+def summary_newest(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of the newest ten hits of a summary."""
+    found = _engine(spark, d).summarize("events", "purchase", 10, lambda texts: str(len(texts)))
+    return spark.createDataFrame([(found["summary"], x) for x in found["hits"]], "summary string, text string")
+
+
+def engine_status(spark: SparkSession, d: str) -> DataFrame:
+    """The answer of a ping, and the last name of the folder of an index."""
+    engine = Engine(spark, _catalog(spark).root)
+    return spark.createDataFrame([(engine.ping(), engine.get_index_dir("events").rsplit("/", 1)[-1])], "answer string, folder string")
+
+
+def _streamed(spark: SparkSession, d: str, again: bool) -> DataFrame:
+    """Events through files and a stream into an index; ``again`` runs the last batch a second time, as after a crash before its commit."""
+    catalog = _catalog(spark)
+    events = table(spark, d, "events")
+    body = F.to_json(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("date"), F.col("event_id").cast("string").alias("id"), "event_type"))
+    lines = events.select(body.alias("value"))
+    lines.write.text(f"{catalog.root}-lines")
+    source = streaming.json_stream(spark, f"{catalog.root}-lines", 1)
+    for _ in range(2 if again else 1):
+        query = streaming.stream_logs(catalog, "events", source, f"{catalog.root}-checkpoint")
+        query.awaitTermination()
+        if again:
+            home = spark._jvm.org.apache.hadoop.fs.Path(f"{catalog.root}-checkpoint/commits")
+            fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
+            last = max((s.getPath() for s in fs.listStatus(home) if s.getPath().getName().isdigit()), key=lambda p: int(p.getName()))
+            fs.delete(last, False)
+            again = False
+    return catalog.logs("events").select(F.col("fields")["id"].cast("bigint").alias("event_id"), F.col("fields")["event_type"].alias("event_type"), F.unix_millis("ts").alias("ms"))
+
+
+def wal_replay(spark: SparkSession, d: str) -> DataFrame:
+    """What an index holds after a stream was run, its last commit was lost, and it was run again: every document once."""
+    return _streamed(spark, d, True)
+
+
+def postings_search(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of a search for terms, over an index of several batches and days whose postings tell where they are."""
+    return _engine(spark, d, 3).search_logs("events", {"query": {"bool": {"must": [{"term": {"event_type": "purchase"}}, {"term": {"user_id": "7"}}]}}}).select("doc_id")
 
 
 def segment_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +226,7 @@ def merge_choice(spark: SparkSession, d: str) -> DataFrame:
 
 def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Logs are appended in two parts, some deleted, and the index is compacted; what it holds then."""
-    catalog = store.Catalog(spark, f"{checkpoint_folder(spark)}/indices-{uuid.uuid4().hex}")
+    catalog = _catalog(spark)
     logs = adapters.logs_from_events(table(spark, d, "events"))
     catalog.create("events")
     catalog.append_logs("events", logs.filter("doc_id % 2 = 0"))
@@ -104,7 +254,7 @@ def window_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (ingest_logs, ingest_metrics, ingest_array, bulk_ingest, retention_filter, segment_overlap, merge_choice, store_roundtrip, window_tumbling, window_sliding, window_sessions)
+    for f in (ingest_logs, ingest_metrics, ingest_array, bulk_ingest, retention_filter, retention_days, append_ids, append_metrics, compact_metrics, index_lifecycle, metric_search, metric_answer, hits_envelope, engine_aggregations, summary_newest, engine_status, wal_replay, postings_search, segment_overlap, merge_choice, store_roundtrip, window_tumbling, window_sliding, window_sessions)
 }
 
 ORACLES = {
@@ -117,6 +267,23 @@ select name, status, 1 as n_labels, count(*) as points, round(sum(value), 2) as
     "ingest_array": "select user_id, event_id, 0::bigint as ms from events",
     "bulk_ingest": "select user_id as request, event_type as index_name, event_id from events where event_type not in ('error', 'view')",
     "retention_filter": "select event_id as doc_id from events where ts >= timestamp '2024-01-21'",
+    "retention_days": "select distinct 'logs/dt=' || ts::date::varchar as folder from events where ts < timestamp '2024-01-21'",
+    "append_ids": "select count(*) as n, count(*) as ids, 0::bigint as lowest, count(*) - 1 as highest, count(*) filter (event_id % 2 = 0) - 1 as last_of_first from events",
+    "append_metrics": "select 'event_value' as name, event_type, user_id::varchar as user_id, date_trunc('millisecond', ts)::timestamp as ts, value::double as value from events where value is not null",
+    "compact_metrics": "select event_type, count(*) as n, round(sum(value::double), 6) as total from events where value is not null group by event_type",
+    "index_lifecycle": "select unnest(['a', 'c', 'default']) as name",
+    "metric_search": "select 'event_type=' || event_type || ',user_id=' || user_id as label_key, date_trunc('millisecond', max(ts))::timestamp as latest, count(*) as points from events where value is not null and event_type = 'purchase' group by 1",
+    "metric_answer": "select 'success' as status, 'vector' as kind, event_type, epoch(timestamp '2024-01-31')::bigint as seconds, round(sum(value::double), 6) as total from events where value is not null group by event_type",
+    "hits_envelope": "select false as timed_out, count(*) over () as total, 'eq' as relation, event_id as id, 1.0::double as score, epoch_us(ts) // 1000 as ms, concat_ws(' ', event_type, props) as text, user_id::varchar as user_id from events where event_type = 'signup'",
+    "engine_aggregations": """
+with e as (select * from events where event_type in ('click', 'view', 'purchase')),
+k as (select event_type, count(*) as in_kind from e group by event_type)
+select event_type, any_value(in_kind) as in_kind, date_trunc('week', ts)::timestamp as week, count(*) as in_week, round(avg(value::double), 6) as mean, (select count(*) from e)::double as every
+from e join k using (event_type) group by event_type, date_trunc('week', ts)""",
+    "summary_newest": "select '10' as summary, text from (select concat_ws(' ', event_type, props) as text from events where event_type = 'purchase' order by ts desc, event_id limit 10)",
+    "engine_status": "select 'OK' as answer, 'events' as folder",
+    "wal_replay": "select event_id, event_type, epoch_us(ts) // 1000 as ms from events",
+    "postings_search": "select event_id as doc_id from events where event_type = 'purchase' and user_id = 7",
     "segment_overlap": "select segment_no from segments where end_time >= timestamp '2024-02-20' and start_time <= timestamp '2024-02-25'",
     "merge_choice": "select segment_no as segment from (select segment_no, sum(log_message_count / 100.0) over (order by end_time, segment_no) as total from segments) where total <= 150",
     "store_roundtrip": "select event_id as doc_id from events where event_type in ('click', 'view') and ts between timestamp '2024-01-02' and timestamp '2024-01-20'",

@@ -92,10 +92,7 @@ _query("pq_topk", f"topk(3, {V})", _RANKED.format(o="desc", k=3))
 _query("pq_bottomk", f"bottomk(2, {V})", _RANKED.format(o="asc", k=2))
 _query("pq_quantile", f"quantile(0.9, {V})", "select '' as label_key, min(ts) as ts, round(value, 7) as value from m where value = (select quantile_disc(value, 0.9) from m) group by value")
 _query("pq_quantile_by", f"quantile by (event_type) (0.25, {V})", ", q as (select event_type, quantile_disc(value, 0.25) as q from m group by 1) select 'event_type=' || event_type as label_key, min(ts) as ts, round(any_value(value), 7) as value from m join q using (event_type) where value = q group by event_type")
-_query("pq_wal_avg_by", 'avg by (job, region) (cpu_usage_percent)', f"select array_to_string(list_filter([case when labels['job'] is not null then 'job=' || labels['job'] end, case when labels['region'] is not null then 'region=' || labels['region'] end], lambda x: x is not null), ',') as label_key, {_NOW} as ts, round(avg(value), 7) as value from m where name = 'cpu_usage_percent' and not isnan(value) and abs(value) <= 100 group by 1", _wal, _WAL)
-QUERIES["pq_wal_avg_by"] = lambda spark, d: shown(
-    MetricEngine(adapters.metrics_from_wal(table(spark, d, "metric_wal")).filter(~F.isnan("value") & (F.abs("value") <= 100)), NOW).query("avg by (job, region) (cpu_usage_percent)")
-)
+_query("pq_wal_avg_by", 'avg by (job, region) (cpu_usage_percent)', f"select array_to_string(list_filter([case when labels['job'] is not null then 'job=' || labels['job'] end, case when labels['region'] is not null then 'region=' || labels['region'] end], lambda x: x is not null), ',') as label_key, {_NOW} as ts, round(avg(value), 7) as value from m where name = 'cpu_usage_percent' group by 1", _wal, _WAL)
 
 # values
 
@@ -144,8 +141,7 @@ _TWO = ", r as (select *, row_number() over (partition by label_key order by ts
 _query("fn_idelta", f"idelta({V})", _TWO.format(value="case when n < 2 then z else z - y end"))
 _query("fn_irate", f"irate({V} * 1000)", _TWO.format(value="case when n < 2 or tz <= ty then z * 1000 else (z - y) * 1000 / ((epoch_us(tz) - epoch_us(ty)) / 1e6) end"))
 _SLOPE = "regr_slope(value, epoch_us(ts) / 1e6)"
-_series("fn_deriv", f"deriv({V} * 1000000)", "case when count(*) < 2 then 'nan'::double else regr_slope(value * 1000000, epoch_us(ts) / 1e6) end", "max(ts)", "label_key in (select label_key from m group by 1 having count(*) > 1)")
-QUERIES["fn_deriv"] = lambda spark, d: shown(_events(spark, d).query(f"deriv({V} * 1000000)")).filter(~F.isnan("value"))
+_series("fn_deriv", f"deriv({V} * 1000000)", "case when count(*) < 2 then 'nan'::double else regr_slope(value * 1000000, epoch_us(ts) / 1e6) end", "max(ts)")
 _query("fn_predict_linear", f"predict_linear({V}, 1706745600)", f"select label_key, timestamp '2024-02-01 00:00:00' as ts, round(case when count(*) < 2 then max(value) else avg(value) + {_SLOPE} * (1706745600 - avg(epoch_us(ts) / 1e6)) end, 7) as value from m group by label_key")
 _query("fn_holt_winters", f"holt_winters({V}, 0.8, 0.2)", f"""with recursive {_EVENTS},
 o as (select label_key, ts, value, row_number() over w as r, lead(value) over w as following, count(*) over (partition by label_key) as n from m window w as (partition by label_key order by ts, value)),
@@ -180,6 +176,15 @@ _query("bin_on", f'sum by (event_type, user_id) ({V}) / on (event_type) sum by (
        f", a as (select label_key, event_type, sum(value) as v from m group by 1, 2), p as (select *, row_number() over (partition by event_type order by v) as r from a), b as (select event_type, sum(value) as w from m group by 1) select label_key, {_NOW} as ts, round(v / w, 7) as value from p join b using (event_type) where r = 1")
 _query("bin_ignoring", f'sum by (event_type) ({V}) / ignoring (event_type) sum({V})',
        f", a as (select event_type, sum(value) as v from m group by 1), p as (select *, row_number() over (order by v) as r from a) select 'event_type=' || event_type as label_key, {_NOW} as ts, round(v / (select sum(value) from m), 7) as value from p where r = 1")
+_query("bin_group_left", f"sum by (event_type, user_id) ({V}) / on (event_type) group_left sum by (event_type) ({V})",
+       f", b as (select event_type, sum(value) as w from m group by 1) select label_key, {_NOW} as ts, round(sum(value) / any_value(w), 7) as value from m join b using (event_type) group by label_key")
+_query("bin_group_right", f'label_replace(sum by (user_id) ({V}), "kind", "all", "user_id", "^.+$") - on (user_id) group_right (kind) sum by (event_type, user_id) ({V})',
+       f", b as (select user_id, sum(value) as w from m group by 1) select 'event_type=' || any_value(event_type) || ',kind=all,user_id=' || any_value(user_id) as label_key, {_NOW} as ts, round(any_value(w) - sum(value), 7) as value from m join b using (user_id) group by m.label_key")
+_STEPS = f", t as (select unnest(generate_series({_NOW} - interval {{days}} days + interval 1 day, {_NOW}, interval 1 day)) as t)"
+_query("pq_subquery", f"max_over_time(sum_over_time({V}[36h])[10d:1d])",
+       _STEPS.format(days=10) + f", s as (select label_key, t, sum(value) as v from m join t on ts > t - interval 36 hours and ts <= t group by all) select label_key, {_NOW} as ts, round(max(v), 7) as value from s group by label_key")
+_query("pq_subquery_points", f"sum by (event_type) (count_over_time({V}[2d]))[6d:1d]",
+       _STEPS.format(days=6) + "select 'event_type=' || event_type as label_key, t as ts, count(*)::double as value from m join t on m.ts > t - interval 2 days and m.ts <= t group by event_type, t")
 _query("set_and", f'{V} and sum_over_time({V}[2d])', f"select label_key, ts, round(value, 7) as value from m where label_key in (select label_key from m where ts > {_NOW} - interval 2 days and ts <= {_NOW})")
 _query("set_unless", f'{V} unless sum_over_time({V}[2d])', f"select label_key, ts, round(value, 7) as value from m where label_key not in (select label_key from m where ts > {_NOW} - interval 2 days and ts <= {_NOW})")
 _query("set_or", f'sum_over_time({V}{{event_type="click"}}) or count_over_time({V})', f"select label_key, {_NOW} as ts, round(case when event_type = 'click' then sum(value) else count(*) end, 7) as value from m group by label_key, event_type")

@@ -41,19 +41,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as a Parquet table in the checkpoint folder: for wide rows that are read more than once, by column.
-
-    The tables of an application are deleted when its driver ends.
-    """
-    spark = df.sparkSession
+def application_folder(spark: SparkSession) -> str:
+    """A folder of the application in the checkpoint folder; it is deleted when the driver ends."""
     home = f"{checkpoint_folder(spark)}/tables-{spark.sparkContext.applicationId}"
     if home not in _homes:
         _homes.add(home)
         atexit.register(_delete, spark, home)
-    path = f"{home}/{uuid.uuid4().hex}"
+    return home
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table in the checkpoint folder: for wide rows that are read more than once, by column."""
+    path = f"{application_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _homes: set[str] = set()

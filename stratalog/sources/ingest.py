@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratalog.functions.analysis import document_terms
+from stratalog.session import cut
+
 
 def json_objects(bodies: DataFrame, body: str = "body") -> DataFrame:
     """One row an object: a body is an object or an array of objects; what is neither goes to ``error``.
@@ -103,12 +105,23 @@ def bulk_logs(lines: DataFrame, now: Column | None = None) -> DataFrame:
     return logs_of(pairs.select("request", "index_name", "object"), now=now)
 
 
-def with_ids(logs: DataFrame, first: int = 0) -> DataFrame:
-    """Adds doc_id: unique numbers from ``first`` on that rise within a partition; no shuffle is needed.
+def number_rows(logs: DataFrame, first: int = 0) -> tuple[DataFrame, int]:
+    """Adds doc_id: numbers from ``first`` on without gaps, in the order of partitions; and the number of rows.
 
-    Partitions are 2**33 apart and put together to at most 1,000, so a batch takes up less than 2**43 numbers.
+    The rows are kept first, so that a task that is run again gives them the same numbers. One number a partition
+    comes to the driver and goes back by broadcast.
     """
-    return logs.coalesce(1000).withColumn("doc_id", F.lit(first).cast("bigint") + F.monotonically_increasing_id())
+    kept = cut(logs).withColumn("__id", F.monotonically_increasing_id())
+    part = F.shiftright("__id", 33)
+    sizes = {r["part"]: r["n"] for r in kept.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, at = [], first
+    for p in sorted(sizes):
+        starts.append((p, at))
+        at += sizes[p]
+    offsets = kept.sparkSession.createDataFrame(starts, "__part bigint, __first bigint")
+    numbered = kept.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    within = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.withColumn("doc_id", F.col("__first") + within).drop("__id", "__part", "__first"), at - first
 
 
 def with_terms(logs: DataFrame) -> DataFrame:

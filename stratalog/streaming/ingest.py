@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stratalog.sources.ingest import json_objects, logs_of, metrics_of, with_ids, with_terms
+from stratalog.sources.ingest import json_objects, logs_of, metrics_of
 from stratalog.sources.store import Catalog
 
 
@@ -15,20 +15,21 @@ def json_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).withColumnRenamed("value", "body")
 
 
-def stream_logs(catalog: Catalog, index: str, source: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
+def stream_logs(catalog: Catalog, index: str, source: DataFrame, checkpoint: str, once: bool = True, name: str = "logs") -> StreamingQuery:
     """Appends a stream of JSON bodies to an index. The checkpoint takes the place of a write-ahead log: after
-    a crash the query goes on where its last commit left off. Ids go on from the highest of the index."""
+    a crash the query goes on where its last commit left off. A batch that is run again after it was appended takes
+    the place of what it wrote: it is stored under the ``name`` of the stream and its number."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        catalog.append_logs(index, with_ids(logs_of(json_objects(batch)), catalog.next_id(index)))
+    def write(batch: DataFrame, number: int) -> None:
+        catalog.append_logs(index, logs_of(json_objects(batch)), f"s-{name}-{number}")
 
     writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
-def stream_metrics(catalog: Catalog, index: str, source: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Appends a stream of metric bodies to an index."""
-    writer = source.writeStream.foreachBatch(lambda batch, _: catalog.append_metrics(index, metrics_of(json_objects(batch))))
+def stream_metrics(catalog: Catalog, index: str, source: DataFrame, checkpoint: str, name: str = "metrics") -> StreamingQuery:
+    """Appends a stream of metric bodies to an index, like ``stream_logs``."""
+    writer = source.writeStream.foreachBatch(lambda batch, number: catalog.append_metrics(index, metrics_of(json_objects(batch)), f"s-{name}-{number}"))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -46,8 +47,3 @@ def sessions(logs: DataFrame, key: str, gap: str = "30 minutes", late: str = "1
     marked = logs.withWatermark("ts", late) if logs.isStreaming else logs
     out = marked.groupBy(F.session_window("ts", gap), F.col("fields")[key].alias(key)).count()
     return out.select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "count")
-
-
-def with_stored_terms(logs: DataFrame) -> DataFrame:
-    """Terms are derived once at ingest, also in streams."""
-    return with_terms(logs)
