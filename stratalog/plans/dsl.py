@@ -548,9 +548,13 @@ def highlighted(text: Column, words: list[str], before: str = "<em>", after: str
     return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}_])({either})(?![\p{{L}}\p{{N}}_])", f"{before}$1{after}")
 
 
+#: members of queries that say how to match, not what
+_SETTINGS = ("operator", "default_operator", "default_field", "field", "fields", "minimum_should_match", "minimum_should_match_field", "fuzziness", "distance", "must_not", "exclude")
+
+
 def _query_words(query: Any) -> list[str]:
     if isinstance(query, dict):
-        return [w for v in query.values() for w in _query_words(v)]
+        return [w for k, v in query.items() if k not in _SETTINGS for w in _query_words(v)]
     if isinstance(query, list):
         return [w for v in query for w in _query_words(v)]
     return query_tokens(query, True) if isinstance(query, str) else []
