@@ -95,9 +95,9 @@ class Catalog:
         writer = df.withColumn("batch", F.lit(batch)).write.mode(mode).option("compression", self.compression).option("maxRecordsPerFile", self.rows_per_file)
         writer.partitionBy("dt", "batch").parquet(path)
 
-    def _forget(self, index: str, batch: str) -> None:
+    def _forget(self, index: str, batch: str, *parts: str) -> None:
         """Removes what an earlier try of a batch may have written."""
-        for part in ("logs/dt=*", "metrics/dt=*", "postings/bucket=*"):
+        for part in parts:
             fs, p = self._fs(f"{self.path(index)}/{part}/batch={batch}")
             for s in fs.globStatus(p) or []:
                 fs.delete(s.getPath(), True)
@@ -109,7 +109,7 @@ class Catalog:
         Gives the documents as they were written.
         """
         if batch is not None:
-            self._forget(index, batch)
+            self._forget(index, batch, "logs/dt=*", "postings/bucket=*")
         batch = batch or f"a{uuid.uuid4().hex}"
         if "doc_id" not in logs.columns:
             logs, rows = number_rows(logs.select("ts", "fields", "text"), first := self.next_id(index))
@@ -164,7 +164,7 @@ class Catalog:
     def append_metrics(self, index: str, metrics: DataFrame, batch: str | None = None) -> None:
         """Appends points (name, labels, ts, value). A ``batch`` of a name that was written before replaces it."""
         if batch is not None:
-            self._forget(index, batch)
+            self._forget(index, batch, "metrics/dt=*")
         rows = metrics.select("name", "labels", "ts", "value").withColumn("dt", F.to_date("ts"))
         self._append(rows, f"{self.path(index)}/metrics", batch or f"a{uuid.uuid4().hex}")
 
@@ -173,7 +173,7 @@ class Catalog:
     def _read(self, index: str, part: str, schema) -> DataFrame | None:
         self._recover(index)
         fs, p = self._fs(f"{self.path(index)}/{part}")
-        return self.spark.read.parquet(f"{self.path(index)}/{part}") if fs.exists(p) and (part == "tombstones" or fs.globStatus(self._fs(f"{self.path(index)}/{part}/dt=*")[1])) else None
+        return self.spark.read.parquet(f"{self.path(index)}/{part}") if fs.exists(p) and (part == "tombstones" or fs.globStatus(self._fs(f"{self.path(index)}/{part}/dt=*/batch=*")[1])) else None
 
     def _between(self, df: DataFrame, start, end) -> DataFrame:
         if start is not None:

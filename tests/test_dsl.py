@@ -89,3 +89,23 @@ def test_search_reads_only_what_it_needs(spark, tmp_path, logs):
     text = plan._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "GreaterThanOrEqual(ts" in text
     assert "ReadSchema: struct<doc_id:bigint,ts:timestamp>" in text
+
+
+def test_words_in_any_order_without_a_limit(spark):
+    texts = ["a b c d e f g", "g f x e d c b a", "g f x y z e d c b a", "a b c d e f", "b a", "a", "", None, "a a b", "c a b a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+
+    def ids(words, gaps, ordered=False):
+        query = {"intervals": {"text": {"match": {"query": words, "max_gaps": gaps, "ordered": ordered}}}}
+        return [r["doc_id"] for r in df.filter(Compiler().compile(query)).orderBy("doc_id").collect()]
+
+    assert ids("a b c d e f g", 0) == [0] and ids("a b c d e f g", 1) == [0, 1] and ids("g a c b d e f", 3) == [0, 1, 2]
+    assert ids("a a b", 0) == [8, 9] and ids("a b", 0) == [0, 1, 2, 3, 4, 8, 9] and ids("a b", 0, True) == [0, 3, 8, 9]
+    assert ids("a c", 1, True) == [0, 3] and ids("c a", -1, True) == [1, 2, 9]
+
+
+def test_needed_terms():
+    c = Compiler(terms="terms")
+    assert c.required({"bool": {"must": [{"term": {"level": "ERROR x"}}], "filter": {"match": {"_all": {"query": "Disk full", "operator": "AND"}}}}}) == ["disk", "full", "level~ERROR", "level~x"]
+    assert c.required({"match": {"_all": "disk full"}}) == [] and c.required({"bool": {"must": [{"term": {"a": "b"}}], "should": [{"term": {"c": "d"}}]}}) == []
+    assert Compiler().required({"term": {"a": "b"}}) == []

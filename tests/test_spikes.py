@@ -168,3 +168,24 @@ def test_nulls_and_empty_tables(spark):
     assert [(r["entry_id"], r["kind"]) for r in got] == [(4, "impossible")]
     assert implausible_readings(spark.createDataFrame([], WAL), limits).count() == 0
     assert implausible_readings(spark.createDataFrame(rows, WAL), spark.createDataFrame([], LIMITS)).count() == 1
+
+
+def test_flags_do_not_depend_on_the_parts(spark):
+    """Short and long sources together, a stuck run longer than a part, and a burst that holds nearly all readings."""
+    short, middle, long = _walk(21, 50), _walk(22, 900), _walk(23, 5000)
+    short[20] += 60
+    middle[700] = float("inf")
+    for k in (100, 101, 2500, 4990):
+        long[k] += 80
+    long[1000:1500] = [long[1000]] * 500
+    series = {"short": short, "middle": middle, "long": long}
+    rows = []
+    for name, v in series.items():
+        for i, x in enumerate(v):
+            at = T0 + dt.timedelta(seconds=i if name != "long" or i < 4900 else 490_000 + (i - 4900) * 1000)
+            rows.append((len(rows), "temp", {"s": name}, at, float(x), 1, True))
+    df, limits = spark.createDataFrame(rows, WAL), spark.createDataFrame(CATALOG, LIMITS)
+    found = [{(r["entry_id"], r["kind"]) for r in implausible_readings(df, limits, part_rows=n).collect()} for n in (100, 300, 100_000)]
+    assert found[0] == found[1] == found[2]
+    kinds = [k for _, k in found[0]]
+    assert kinds.count("stuck") == 500 and kinds.count("spike") >= 4 and kinds.count("impossible") == 1

@@ -120,3 +120,63 @@ def test_windows_drop_late_rows_of_streams(spark, tmp_path):
     query = streaming.windowed_counts(stream, "10 minutes", late="5 minutes", key="k").writeStream.format("memory").queryName("w").outputMode("append").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert [(r["k"], r["count"]) for r in spark.sql("select * from w order by window_start").collect()] == [("a", 2)]
+
+
+def test_a_batch_that_is_repeated_replaces_itself(spark, engine):
+    objects = ingest.json_objects(spark.createDataFrame([(json.dumps({"date": T0 + k, "a": f"x{k}"}),) for k in range(3)], "body string"))
+    for _ in range(2):
+        engine.catalog.append_logs("i", ingest.logs_of(objects), "s-q-0")
+        engine.catalog.append_metrics("i", spark.createDataFrame([("m", {"a": "b"}, dt.datetime(2024, 1, 1), 1.0)], "name string, labels map<string,string>, ts timestamp, value double"), "s-q-0")
+    assert sorted(r["text"] for r in engine.catalog.logs("i").collect()) == ["x0", "x1", "x2"]
+    assert engine.catalog.metrics("i").count() == 1
+    assert engine.catalog.days_of("i", ["x1"]) == [("2024-01-01", "s-q-0")]
+
+
+def test_ids_have_no_gaps(spark, engine):
+    rows = spark.range(0, 1000, 1, 7).selectExpr("cast(id as timestamp) as ts", "map('k', cast(id as string)) as fields", "cast(id as string) as text")
+    for _ in range(2):
+        engine.catalog.append_logs("i", rows)
+    assert sorted(r["doc_id"] for r in engine.catalog.logs("i").collect()) == list(range(2000))
+    assert engine.catalog.next_id("i") == 2000
+    assert engine.catalog.append_logs("i", rows.limit(0)).count() == 0
+    assert [r["doc_id"] for r in engine.append_log("i", {"a": "new"}).collect()] == [2000]
+
+
+def test_postings_spare_days(engine):
+    for day in range(4):
+        engine.append_log("i", [{"date": T0 + day * DAY + k, "message": f"hello day{day} n{k}", "level": "info"} for k in range(3)])
+    assert len(engine.catalog.days_of("i", ["hello"])) == 4 and len(engine.catalog.days_of("i", ["hello", "day2"])) == 1
+    hits = engine.search_logs("i", {"query": {"bool": {"must": [{"match": {"_all": {"query": "hello day2", "operator": "AND"}}}], "must_not": [{"term": {"text": "n0"}}]}}})
+    assert hits.count() == 2
+    assert "batch#" in hits._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert engine.search_logs("i", q="nowhere").count() == 0
+    # neither side of a should clause is needed
+    assert engine.search_logs("i", {"query": {"bool": {"must": [{"term": {"text": "day1"}}], "should": [{"term": {"text": "day2"}}]}}}).count() == 6
+    engine.compact("i")
+    assert engine.search_logs("i", q="hello day2").count() == 3 and len(engine.catalog.days_of("i", ["day3"])) == 1
+
+
+def test_a_compaction_is_finished_by_whoever_finds_its_note(engine, monkeypatch):
+    from stratalog.sources.store import Catalog
+
+    for k in range(3):
+        engine.append_log("i", [{"date": T0, "message": f"hello {k}"}])
+    engine.delete_by_query("i", {"query": {"term": {"text": "1"}}})
+    recover = Catalog._recover
+    calls = []
+    monkeypatch.setattr(Catalog, "_recover", lambda self, index: calls.append(index) or (recover(self, index) if len(calls) < 4 else 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        engine.compact("i")
+    monkeypatch.setattr(Catalog, "_recover", recover)
+    for _ in range(2):
+        assert sorted(r["text"] for r in engine.catalog.logs("i").collect()) == ["hello 0", "hello 2"]
+    engine.flush("i")
+    assert engine.compact("i")["after"] == 1 and engine.search_logs("i", q="hello").count() == 2
+
+
+def test_buckets_inside_buckets(engine):
+    engine.append_log("i", [{"date": T0 + (k % 2) * DAY, "level": f"l{k % 3}", "host": f"h{k % 2}", "n": str(k)} for k in range(12)])
+    spec = {"terms": {"field": "level", "order": {"_key": "asc"}}, "aggs": {"hosts": {"terms": {"field": "host", "size": 1, "order": {"top": "desc"}}, "aggs": {"top": {"max": {"field": "n"}}, "days": {"date_histogram": {"calendar_interval": "day"}}}}, "mean": {"avg": {"field": "n"}}}}
+    rows = engine.aggregate("i", {"aggs": {"levels": spec}})["levels"].collect()
+    assert [(r["key"], r["doc_count"], r["mean"]) for r in rows] == [("l0", 4, 4.5), ("l1", 4, 5.5), ("l2", 4, 6.5)]
+    assert [(h["key"], h["doc_count"], h["top"], len(h["days"]), h["days"][0]["doc_count"]) for r in rows for h in r["hosts"]] == [("h1", 2, 9.0, 1, 2), ("h0", 2, 10.0, 1, 2), ("h1", 2, 11.0, 1, 2)]
