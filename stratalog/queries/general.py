@@ -52,6 +52,10 @@ def p4_impossible(spark: SparkSession, d: str) -> DataFrame:
     return p4_flags(spark, d).filter("kind = 'impossible'").select("entry_id")
 
 
+def p4_stuck(spark: SparkSession, d: str) -> DataFrame:
+    return p4_flags(spark, d).filter("kind = 'stuck'").select("entry_id")
+
+
 def _profiles(spark: SparkSession, d: str) -> DataFrame:
     wal = drift.schema_profiles(table(spark, d, "log_wal"), "log_wal", "stream", "file_no", "entry", True)
     return wal.unionByName(drift.schema_profiles(table(spark, d, "log_messages"), "log_messages", "stream", "file_no", "fields", False))
@@ -105,7 +109,7 @@ def p7_entries(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_key_stats, p3_found, p3_grid, p3_periods, p4_found, p4_flags, p4_impossible, p6_found, p6_changes, p6_steps, p6_consistent, p6_kept, p7_found, p7_templates, p7_entries)
+    for f in (p1_found, p1_key_stats, p3_found, p3_grid, p3_periods, p4_found, p4_flags, p4_impossible, p4_stuck, p6_found, p6_changes, p6_steps, p6_consistent, p6_kept, p7_found, p7_templates, p7_entries)
 }
 
 _KEYS = """
@@ -178,6 +182,19 @@ where "rows" * 100 >= 8 * (select count(*) from metric_wal) and key_kind <> 'ser
     "p3_found": _PERIODS + "select series_key, k * s as period_start from g anti join n using (series_key, k)",
     "p3_periods": _PERIODS
     + "select g.series_key, g.k * s as period_start, coalesce(n.readings, 0)::bigint as readings from g left join n using (series_key, k)",
+    "p4_stuck": """
+with l as (select metric_name, min_value, max_value from metric_catalog),
+b as (
+  select w.entry_id, w.time, w.value, isnan(value) or isinf(value) or coalesce(value < min_value, false) or coalesce(value > max_value, false) as bad,
+         coalesce(w.metric_name, '?') || '|' || coalesce(array_to_string(list_sort(list_transform(map_entries(name_value_labels), lambda e: e.key || '=' || coalesce(e.value, ''))), ','), '') as source
+  from metric_wal w left join l using (metric_name) where value is not null and time is not null),
+r as (select source, time, arg_min(value, entry_id) as v from b group by source, time having not bool_or(bad)),
+c as (select *, coalesce((v <> lag(v) over w)::int, 0) as change, lag(v) over w is not null as paired from r window w as (partition by source order by time)),
+g as (select *, sum(change) over (partition by source order by time rows unbounded preceding) as run from c),
+n as (select *, count(*) over (partition by source, run) as size from g),
+p as (select *, size < 10 and coalesce(lag(size) over (partition by source order by time), 10) < 10 as free from n),
+s as (select source from p group by source having count(*) filter (free) >= 5 and 2 * sum(change) filter (free) > count(*) filter (free))
+select b.entry_id from n join s using (source) join b on b.source = n.source and b.time = n.time where n.size >= 10""",
     "p4_impossible": """
 with l as (select metric_name, min_value, max_value from metric_catalog),
 b as (
