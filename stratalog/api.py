@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.plans import aggs, dsl, metrics
-from stratalog.session import ship
+from stratalog.session import ship, written
 from stratalog.sources import ingest
 from stratalog.sources.store import DEFAULT_INDEX, Catalog
 
@@ -71,8 +71,26 @@ class Engine:
         needed = self._names.required(dsl.parse_body(body).query)
         return dsl.search(self.catalog.logs(index, start, end, needed).drop("batch"), body, self._names)
 
+    def answer(self, index: str, query: str | dict | None = None, q: str | None = None, start=None, end=None) -> DataFrame:
+        """The answer of a search as rows, in order, one a hit, with what the envelope says of them all; there may be any number of hits.
+
+        They are found within the timeout of the body before this returns, and stay in the checkpoint folder until the driver ends.
+        """
+
+        def find() -> tuple[DataFrame, int]:
+            found = written(self.search_logs(index, query, q, start, end).select("doc_id", "ts", "fields", "text"))
+            return found, found.count()
+
+        parsed = dsl.parse_body(query) if query else None
+        found, total = self._within(parsed.timeout_s if parsed else None, find)
+        ordered = found.orderBy(*dsl.sorting(self._names, parsed.sort if parsed else []))
+        return ordered.select(
+            F.lit(False).alias("timed_out"), F.lit(total).cast("bigint").alias("total"), F.lit("eq").alias("relation"),
+            F.col("doc_id").alias("_id"), F.lit(1.0).alias("_score"), F.expr("unix_micros(ts) div 1000").alias("timestamp"), "text", "fields",
+        )
+
     def hits(self, index: str, query: str | dict | None = None, q: str | None = None, start=None, end=None, most: int = 100_000) -> dict:
-        """The answer of a search as an envelope; more than ``most`` hits are an error: give a size in the body, or use ``search_logs``."""
+        """The answer of a search as an envelope in the driver; more than ``most`` hits are an error: give a size in the body, or use ``answer``."""
         began = dt.datetime.now()
         limit = dsl.parse_body(query).timeout_s if query else None
         rows = self._within(limit, lambda: self.search_logs(index, query, q, start, end).limit(most + 1).collect())

@@ -148,10 +148,8 @@ def metric_answer(spark: SparkSession, d: str) -> DataFrame:
 
 def hits_envelope(spark: SparkSession, d: str) -> DataFrame:
     """The answer of a search with a time limit, as its envelope shows it."""
-    answer = _engine(spark, d).hits("events", {"query": {"term": {"event_type": "signup"}}, "timeout": "600s"})
-    total = answer["hits"]["total"]
-    rows = [(answer["timed_out"], total["value"], total["relation"], h["_id"], h["_score"], h["_source"]["timestamp"], h["_source"]["text"], h["_source"]["user_id"]) for h in answer["hits"]["hits"]]
-    return spark.createDataFrame(rows, "timed_out boolean, total bigint, relation string, id bigint, score double, ms bigint, text string, user_id string")
+    answer = _engine(spark, d).answer("events", {"query": {"term": {"event_type": "signup"}}, "timeout": "600s"})
+    return answer.select("timed_out", "total", "relation", F.col("_id").alias("id"), F.col("_score").alias("score"), F.col("timestamp").alias("ms"), "text", F.col("fields")["user_id"].alias("user_id"))
 
 
 def engine_aggregations(spark: SparkSession, d: str) -> DataFrame:

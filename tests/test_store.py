@@ -69,6 +69,30 @@ def test_append_search_delete_retain_compact(engine):
     assert "hello world" in engine.summarize("i", "hello", 5)["summary"]
 
 
+def test_an_answer_holds_any_number_of_hits(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    n = 100_500  # more than the envelope in the driver takes
+    rows = spark.range(n).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00.001' + make_dt_interval(cast(id % 3 as int), 0, 0, id / 1000) as ts", "if(id = 5, null, id % 7) as user_id", "if(id = 9, 'view', 'signup') as event_type", "cast(id as double) as value", "'{}' as props")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = entry.queries()["hits_envelope"](spark, str(tmp_path))
+    assert got.dtypes == [("timed_out", "boolean"), ("total", "bigint"), ("relation", "string"), ("id", "bigint"), ("score", "double"), ("ms", "bigint"), ("text", "string"), ("user_id", "string")]
+    wanted = "total = 100499 and not timed_out and relation = 'eq' and score = 1.0 and text = 'signup {}' and user_id <=> if(id = 5, null, string(id % 7))"
+    found = got.filter(f"{wanted} and ms = 1704067200001 + id % 3 * {DAY} + id").selectExpr("count(*)", "count(distinct id)", "sum(id)").first()
+    assert got.count() == n - 1 and tuple(found) == (n - 1, n - 1, n * (n - 1) // 2 - 9)
+
+
+def test_an_answer_is_like_the_envelope(engine):
+    engine.append_log("i", [{"date": T0 + k % 4, "n": f"{k}", "level": "a" if k % 3 else "b"} for k in range(20)])
+    for body in ({"query": {"term": {"level": "a"}}, "timeout": "60s"}, {"query": {"term": {"level": "a"}}, "size": 5, "from": 2}, {"sort": [{"n": "desc"}]}, {"query": {"term": {"level": "c"}}}):
+        envelope, rows = engine.hits("i", body), engine.answer("i", body).collect()
+        assert [{"_id": r["_id"], "_score": r["_score"], "_source": {"timestamp": r["timestamp"], "text": r["text"], **r["fields"]}} for r in rows] == envelope["hits"]["hits"]
+        assert {(r["timed_out"], r["total"], r["relation"]) for r in rows} == ({(False, envelope["hits"]["total"]["value"], "eq")} if rows else set())
+    assert len(engine.answer("i", q="b").collect()) == 7
+    with pytest.raises(QueryError):
+        engine.answer("i")
+
+
 def test_metrics(engine):
     engine.append_metric("i", [{"date": T0 + k * 1000, "labels": {"host": f"h{k % 2}"}, "cpu": float(k)} for k in range(10)])
     end = dt.datetime(2024, 1, 1, 1, tzinfo=dt.timezone.utc)
